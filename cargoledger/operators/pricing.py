@@ -3,24 +3,27 @@
 A lookup picks one of several matching rate rows: by service exactness, then by band start or
 newest validity. Ranking matches per shipment would cost a sort of the whole shipment side, so
 the (small) cards are compiled instead: overlapping rate rows become disjoint (kilo, date)
-cells that already hold the winning value. Every shipment then matches at most one cell, and a
-lookup is one left join that neither multiplies nor shuffles shipments while the compiled card
-is small enough to broadcast. Its size is counted first; a larger card is joined by shuffle,
-where adaptive execution splits the hot keys.
+cells that already hold the winning value. Every shipment then matches at most one cell, so a
+lookup is one left join that neither multiplies nor sorts shipments.
+
+Cards change rarely: a book is compiled once, stored, and read by every run. No join here is
+hinted. The planner sees the true size of a stored card and broadcasts it only below its own
+threshold; a larger card is joined by shuffle, where adaptive execution splits the hot keys.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, fields
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cargoledger.functions.money import FINE, RATE, exact, fine, plus
+from cargoledger.functions.money import FINE, RATE, fine, plus
 from cargoledger.rules import (
-    AUTOMATIC, DEFAULT_RULES, FLAT, LEGACY_FLAT, MARGIN_METHODS, METHODS, Rules,
+    AUTOMATIC, DEFAULT_RULES, FLAT, LEGACY_FLAT, MARGIN_METHODS, Rules,
 )
 
 # What an absent bound stands for.
@@ -186,7 +189,7 @@ def flat_card(flat_rates: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class PriceBook:
-    """Compiled rate cards; those counted as small carry a broadcast hint."""
+    """Compiled rate cards."""
 
     cost: DataFrame
     fuel: DataFrame
@@ -195,35 +198,34 @@ class PriceBook:
     flat: DataFrame
 
 
-def bounded_broadcast(frames: dict[str, DataFrame], limit: int) -> dict[str, DataFrame]:
-    """Hint a broadcast for each frame counted (in one job) at no more than ``limit`` rows."""
-    counts = reduce(
-        DataFrame.unionByName,
-        [
-            df.agg(F.count(F.lit(1)).alias("rows")).withColumn("name", F.lit(name))
-            for name, df in frames.items()
-        ],
-    )
-    small = {row["name"] for row in counts.collect() if row["rows"] <= limit}
-    return {name: F.broadcast(df) if name in small else df for name, df in frames.items()}
-
-
 def price_book(
     cost_rates: DataFrame,
     fuel_rates: DataFrame,
     zone_margins: DataFrame,
     kilo_margins: DataFrame,
     flat_rates: DataFrame,
-    rules: Rules = DEFAULT_RULES,
 ) -> PriceBook:
-    cards = {
-        "cost": cost_card(cost_rates),
-        "fuel": fuel_card(fuel_rates),
-        "zone_margin": zone_margin_card(zone_margins),
-        "kilo_margin": kilo_margin_card(kilo_margins),
-        "flat": flat_card(flat_rates),
-    }
-    return PriceBook(**bounded_broadcast(cards, rules.broadcast_rows))
+    return PriceBook(
+        cost=cost_card(cost_rates),
+        fuel=fuel_card(fuel_rates),
+        zone_margin=zone_margin_card(zone_margins),
+        kilo_margin=kilo_margin_card(kilo_margins),
+        flat=flat_card(flat_rates),
+    )
+
+
+def store_price_book(book: PriceBook, folder: str) -> PriceBook:
+    """Write every card under ``folder`` and return the book that reads them."""
+    names = [f.name for f in fields(book)]
+
+    def store(name: str) -> DataFrame:
+        card: DataFrame = getattr(book, name)
+        path = f"{folder.rstrip('/')}/{name}"
+        card.write.mode("overwrite").parquet(path)
+        return card.sparkSession.read.schema(card.schema).parquet(path)
+
+    with ThreadPoolExecutor(len(names)) as pool:  # small independent jobs, submitted together
+        return PriceBook(*pool.map(store, names))
 
 
 def _attach(
@@ -378,10 +380,3 @@ def price(
         .otherwise(F.lit(None).cast(FINE))
     )
     return rows.select(*keep, value.alias(name))
-
-
-__all__ = [
-    "AUTOMATIC", "METHODS", "PriceBook", "compile_card", "exact", "kilo_band", "lookup_cost",
-    "lookup_flat", "lookup_fuel", "lookup_kilo_margin", "lookup_zone_margin", "normalise_method",
-    "price", "price_book", "validity_window",
-]

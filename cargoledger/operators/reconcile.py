@@ -75,6 +75,27 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select([F.col(c).alias(f"{prefix}{c}") for c in df.columns])
 
 
+def original_shipments(invoices: DataFrame, shipments: DataFrame) -> DataFrame:
+    """For each return waybill and original it names: who shipped the original.
+
+    Read from the few return lines alone. Joining all lines on their mostly NULL origin would
+    send most of them to one task.
+    """
+    named = (
+        invoices.filter(F.col("is_return"))
+        .select(
+            F.col("waybill").alias("return_waybill"),
+            return_origin(F.col("is_return"), F.col("reference")).alias("origin"),
+        )
+        .filter(F.col("origin").isNotNull())
+        .distinct()
+    )
+    original = _prefixed(
+        shipments.select("waybill", "seller_id", "seller_name", "payment_model"), "original_"
+    )
+    return named.join(original, F.col("origin") == F.col("original_waybill")).drop("origin")
+
+
 def attribute(
     invoices: DataFrame,
     shipments: DataFrame,
@@ -85,24 +106,19 @@ def attribute(
     """Cost and billing side by side: one row per waybill known to either.
 
     Every input is placed by waybill once. The charges join each side before the full outer
-    join, since its coalesced key would need a new placement. Returns are resolved apart on
-    their own (few) rows: joining all lines on the mostly NULL origin would send them to one
-    task.
+    join, since its coalesced key would need a new placement.
     """
     lines = dedup_invoices(invoices)
     lines = lines.withColumn("origin", return_origin(F.col("is_return"), F.col("reference")))
     charges = charges_by_waybill(overweight, surcharges)
-    original = _prefixed(
-        shipments.select("waybill", "seller_id", "seller_name", "payment_model"), "original_"
-    )
-    returns = (
-        lines.filter(F.col("origin").isNotNull())
-        .select("waybill", "origin")
-        .join(original, F.col("origin") == F.col("original_waybill"))
-        .drop("origin")
+    found = original_shipments(invoices, shipments)
+    # The origin test is a range so that waybill stays the only join key: with two keys the
+    # lines would have to be placed anew.
+    same_return = (F.col("waybill") == F.col("return_waybill")) & F.col("origin").between(
+        F.col("original_waybill"), F.col("original_waybill")
     )
     cost_side = _prefixed(
-        lines.join(charges, "waybill", "left").join(returns, "waybill", "left"), "c_"
+        lines.join(charges, "waybill", "left").join(found, same_return, "left"), "c_"
     )
     billing_side = _prefixed(shipments.join(charges, "waybill", "left"), "s_")
     both = cost_side.join(billing_side, F.col("c_waybill") == F.col("s_waybill"), "full_outer")

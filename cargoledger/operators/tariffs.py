@@ -22,9 +22,9 @@ PREVIEW_COLUMNS = (
 )
 
 
-def _clients(credit_config: DataFrame) -> DataFrame:
+def _clients(credit_config: DataFrame, *more: str) -> DataFrame:
     return credit_config.select(
-        "seller_id",
+        "seller_id", *more,
         normalise_method(F.col("method")).alias("method"),
         F.col("margin").alias("client_margin"),
     ).filter(F.col("method").isin(*METHODS) & (F.col("method") != AUTOMATIC))
@@ -43,10 +43,9 @@ def tariff_preview(
     flat clients have none here. The fuel shown is the one used in the price.
     """
     day = F.lit(as_of)
-    wanted = _clients(clients).filter(F.col("method") != FLAT)
-    wanted = wanted.join(clients.select("seller_id", F.col("carrier").alias("_carrier")), "seller_id")
+    wanted = _clients(clients, "carrier").filter(F.col("method") != FLAT)
     current = cost_rates.filter(validity_window(day, F.col("valid_from"), F.col("valid_to")))
-    rows = current.join(wanted, F.col("carrier") == F.col("_carrier")).drop("_carrier")
+    rows = current.join(wanted, "carrier")
     kilo = F.coalesce("kilo_min", F.lit(0.0))
     priced = price(rows, book, "exact_price", kilo=kilo, day=day, rules=rules)
     shown = lookup_fuel(priced, book, "fuel", day=day)

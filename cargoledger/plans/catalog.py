@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 from functools import cached_property
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,18 +51,28 @@ def present(df: DataFrame) -> DataFrame:
     return df.select([shown(f) for f in df.schema])
 
 
-_RESULTS: dict[tuple[str, str], DataFrame] = {}
+_STORED: dict[tuple[str, str, str], object] = {}
 
 
 class Workspace(Domain):
     """Domain tables plus the frames several queries share."""
 
-    @cached_property
+    def _stored(self, name: str, build: Callable[[str], Any]) -> Any:
+        """A table written once per session and data folder, then read by every query."""
+        session = self.spark.sparkContext.applicationId
+        key = (session, self.folder, name)
+        if key not in _STORED:
+            data = self.folder.strip("/").replace("/", "_")
+            _STORED[key] = build(f"{tables.shared_folder(self.spark)}/{session}/{data}/{name}")
+        return _STORED[key]
+
+    @property
     def book(self) -> pricing.PriceBook:
-        return pricing.price_book(
+        compiled = lambda: pricing.price_book(
             self.cost_rates, self.fuel_rates, self.zone_margins, self.kilo_margins,
             self.flat_rates,
         )
+        return self._stored("book", lambda path: pricing.store_price_book(compiled(), path))
 
     @property
     def facts(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -85,13 +96,10 @@ class Workspace(Domain):
 
     @property
     def recon(self) -> DataFrame:
-        """The written result table the reports read; built once per session and data folder."""
-        key = (self.spark.sparkContext.applicationId, self.folder)
-        if key not in _RESULTS:
-            name = self.folder.strip("/").replace("/", "_")
-            path = f"{tables.shared_folder(self.spark)}/{key[0]}/reconciliation/{name}"
-            _RESULTS[key] = tables.write_reconciliation(self.reconciled, path)
-        return _RESULTS[key]
+        """The written result table the reports read."""
+        return self._stored(
+            "reconciliation", lambda path: tables.write_reconciliation(self.reconciled, path)
+        )
 
     @cached_property
     def lines(self) -> DataFrame:

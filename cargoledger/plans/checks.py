@@ -114,9 +114,9 @@ def _price_of(method: str, global_margin: str) -> str:
         f"case {method} when 'margin_global' then coalesce({global_margin}, 0) "
         "when 'margin_zone' then coalesce(z.margin, 0) else coalesce(k.margin, 0) end"
     )
-    return f"""case when {method} = 'flat' then cast(f.price * 1.16 as decimal(30,10))
+    return f"""case when {method} = 'flat' then cast(cast(f.price as decimal(24,6)) * 1.16 as decimal(30,10))
     when {method} like 'margin%' then cast(c.unit_cost
-      * (cast(1 + coalesce(u.fuel, 0) as decimal(10,6)) * cast(1 + {margin} as decimal(10,6)) * 1.16)
+      * (cast(1 + coalesce(u.fuel, 0) as decimal(20,6)) * cast(1 + {margin} as decimal(20,6)) * 1.16)
       as decimal(30,10)) end"""
 
 
@@ -131,10 +131,10 @@ left join {{account_flat}} f on f.waybill = a.waybill"""
 _TARIFF = "(account_type = 'credit' and billing_method <> 'automatic')"
 STEPS["amounts"] = f"""
 select *,
-  case when {_TARIFF} then cast(surcharge_cost * cast(1 + coalesce(client_margin, 0) as decimal(10,6))
+  case when {_TARIFF} then cast(surcharge_cost * cast(1 + coalesce(client_margin, 0) as decimal(20,6))
     * 1.16 as decimal(30,10)) else 0 end as surcharge_price,
   cast(coalesce(sale_price, 0) + overweight as decimal(30,10)) as already_billed,
-  cast(cost * factor as decimal(30,10)) as floor_price
+  cast(cast(cost as decimal(24,6)) * factor as decimal(30,10)) as floor_price
 from {{tariffed}}"""
 STEPS["valued"] = f"""
 select *,
@@ -556,7 +556,7 @@ check(
     "tariff_preview_flat", PREVIEW,
     """select r.seller_id, r.carrier, 'flat' as method, cast(null as varchar) as service, r.zone,
       r.kilo_min, r.kilo_max, cast(null as double) as cost, 0 as fuel,
-      cast(r.price * 1.16 as decimal(18,2)) as price
+      cast(cast(r.price as decimal(24,6)) * 1.16 as decimal(18,2)) as price
     from {flat_rates} r join {credit_config} c on c.seller_id = r.seller_id
     where c.method in ('flat', 'manual')""",
 )
@@ -937,7 +937,7 @@ check(
 STEPS["surcharge_lines"] = f"""
 select x.*, {_SPLIT} from (
   select t.seller_id, t.month, t.carrier, t.concept,
-    cast(t.cost * cast(1 + coalesce(g.margin, 0) as decimal(10,6)) * 1.16 as decimal(18,2)) as total
+    cast(t.cost * cast(1 + coalesce(g.margin, 0) as decimal(20,6)) * 1.16 as decimal(18,2)) as total
   from (select s.seller_id, s.month, u.carrier, u.concept,
       cast(sum(u.amount) as decimal(18,2)) as cost
     from {{statement_rows}} s join {{surcharges}} u on u.waybill = s.waybill

@@ -164,10 +164,10 @@ select distinct {CARRIER.format("n_nationkey")}, cast(null as date), cast(null a
 from {{nation}}"""
 
 DOMAIN["client_lanes"] = f"""
-select distinct o_custkey as seller_id, {LINE_CARRIER} as carrier,
-  cast(l_partkey % 8 as string) as zone, cast(l_partkey % 8 as int) as zone_no
-from {{lineitem}} join {{orders}} on l_orderkey = o_orderkey
-where l_linestatus = 'F'"""
+select distinct o_custkey as seller_id, {CARRIER.format("o_orderkey")} as carrier,
+  cast(cast(floor(o_orderkey / 4) as bigint) % 8 as string) as zone,
+  cast(cast(floor(o_orderkey / 4) as bigint) % 8 as int) as zone_no
+from {{orders}}"""
 
 _FLAT = """
 select l.seller_id, client, carrier, zone, cast({low} as double) as kilo_min,
@@ -205,9 +205,7 @@ select {CARRIER.format("n_nationkey")} as carrier, n_name as concept,
   'Column ' || cast(n_regionkey as string) as source_column
 from {{nation}}"""
 
-DOMAIN["client_carriers"] = f"""
-select distinct o_custkey as seller_id, {LINE_CARRIER} as carrier
-from {{lineitem}} join {{orders}} on l_orderkey = o_orderkey"""
+DOMAIN["client_carriers"] = "select distinct seller_id, carrier from {client_lanes}"
 
 DOMAIN["periods"] = f"""
 select {ORDER_MONTH} as month, 'closed' as status,
@@ -221,7 +219,7 @@ group by {ORDER_MONTH}"""
 DOMAIN["charges"] = f"""
 select o_custkey as seller_id, 'Old client ' || cast(o_custkey as string) as client,
   {ORDER_MONTH} as month, count(*) as waybills,
-  cast(sum(cast(o_totalprice as decimal(18,2))) / 2 as decimal(18,2)) as amount,
+  cast(cast(sum(cast(o_totalprice as decimal(18,2))) as decimal(20,2)) * 0.5 as decimal(18,2)) as amount,
   case o_custkey % 6 when 0 then 'generated' when 1 then 'sent' when 2 then 'partial'
     when 3 then 'paid' when 4 then 'approved' else 'disputed' end as status,
   cast('2001-12-01 09:30:00' as timestamp) as generated_at,

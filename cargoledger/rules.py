@@ -42,8 +42,6 @@ class Rules:
             "paquete_express_2": "PAQUETERIA EXPRESS",
         }
     )
-    # a rate card is broadcast only while its compiled form has at most this many rows
-    broadcast_rows: int = 250_000
 
 
 DEFAULT_RULES = Rules()
