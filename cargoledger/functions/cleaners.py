@@ -6,13 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Number text accepted, whitespace collapsed, day-first formats, return reference.
-NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-BLANKS_PATTERN = r"(?U)[\s\x1c-\x1f]+"
-DAY_FIRST_FORMATS = ("d/M/yyyy H:m:s", "d/M/yyyy H:m", "d/M/yyyy")
-ISO_FORMATS = ("yyyy-M-d H:m:s", "yyyy-M-d")
-RETURN_PATTERN = r"^RT[0-9]{10}$"
-ORIGIN_PATTERN = r"[0-9]{10}"
+# Whitespace characters, number suffixes that are no number, day-first and ISO date
+# texts by their number of colons, and return references.
+BLANKS_PATTERN = (
+    "[ \\t\\n\\x0b\\f\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+)
+NOT_NUMBER_ENDINGS = ("d", "D", "f", "F", "n", "N", "y", "Y")
+DAY_FIRST_FORMATS = ("d/M/yyyy", "d/M/yyyy H:m", "d/M/yyyy H:m:s")
+ISO_FORMATS = ("yyyy-M-d", "yyyy-M-d H:m", "yyyy-M-d H:m:s")
+RETURN_PATTERN = "^(?i:RT)[0-9]{10}$"
+ORIGIN_PATTERN = "[0-9]{10}"
 
 
 def as_text(c: Column, kind: T.DataType = T.StringType()) -> Column:
@@ -23,6 +26,13 @@ def as_text(c: Column, kind: T.DataType = T.StringType()) -> Column:
     return c.cast("string")
 
 
+def has_text(c: Column, kind: T.DataType = T.StringType()) -> Column:
+    """Whether ``clean_text`` would leave something."""
+    if isinstance(kind, T.StringType):
+        return F.coalesce(c.rlike(f"[^{BLANKS_PATTERN[1:-2]}]"), F.lit(False))
+    return c.isNotNull()
+
+
 def clean_text(c: Column, kind: T.DataType = T.StringType()) -> Column:
     """Collapse whitespace, trim, and turn empty text into NULL."""
     collapsed = F.regexp_replace(as_text(c, kind), BLANKS_PATTERN, " ")
@@ -32,11 +42,15 @@ def clean_text(c: Column, kind: T.DataType = T.StringType()) -> Column:
 def clean_number_or_null(
     c: Column, target: str | T.DataType = "double", kind: T.DataType = T.StringType()
 ) -> Column:
-    """Number, or NULL when the cell is empty or not a number."""
-    if isinstance(kind, T.StringType):
-        text = F.trim(F.regexp_replace(c, BLANKS_PATTERN, " "))
-        return F.when(text.rlike(NUMBER_PATTERN), text.try_cast(target))
-    return c.try_cast(target)
+    """Number, or NULL when the cell is empty or not a number.
+
+    A text ending in a type suffix (``12d``), an infinity or a NaN casts to a double, so such
+    endings are refused; decimals have no such forms.
+    """
+    number = c.try_cast(target)
+    if isinstance(kind, T.StringType) and target == "double":
+        return F.when(~F.substring(F.trim(c), -1, 1).isin(*NOT_NUMBER_ENDINGS), number)
+    return number
 
 
 def clean_number(
@@ -70,12 +84,19 @@ def clean_date(
     if not isinstance(kind, T.StringType):
         return F.lit(None).cast("date")
     text = F.trim(c)
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast("date")
+    colons = F.length(text) - F.length(F.replace(text, F.lit(":"), F.lit("")))
+    parsed = F.lit(None).cast("timestamp")
+    for count, form in enumerate(formats):  # the colons tell the one format that can match
+        parsed = F.when(colons == count, F.try_to_timestamp(text, F.lit(form))).otherwise(parsed)
+    return parsed.cast("date")
 
 
 def detect_return(reference: Column) -> Column:
-    """Whether a cleaned reference marks a return shipment."""
-    return F.coalesce(F.upper(reference).rlike(RETURN_PATTERN), F.lit(False))
+    """Whether a cleaned reference marks a return shipment, in any case.
+
+    The pattern ignores case itself: mapping every text to upper case costs far more.
+    """
+    return F.coalesce(reference.rlike(RETURN_PATTERN), F.lit(False))
 
 
 def return_origin(is_return: Column, reference: Column) -> Column:

@@ -237,16 +237,17 @@ def _attach(
     day: Column | None = None,
 ) -> DataFrame:
     """Left join the one cell that holds (keys, kilo, day); adds ``name`` and ``name_found``."""
-    cells = card.select([F.col(c).alias(f"{name}_{c}") for c in card.columns]).withColumn(
-        f"{name}_found", F.lit(True)
-    )
+    columns = [f"{name}_{c}" for c in card.columns]
+    cells = card.toDF(*columns).withColumn(f"{name}_found", F.lit(True))
     match = [probe == F.col(f"{name}_{key}") for key, probe in keys.items()]
     if kilo is not None:
         match += [kilo >= F.col(f"{name}_kilo_low"), kilo < F.col(f"{name}_kilo_high")]
     if day is not None:
         match += [day >= F.col(f"{name}_day_low"), day < F.col(f"{name}_day_high")]
     joined = df.join(cells, reduce(and_, match), "left")
-    return joined.select(*df.columns, F.col(f"{name}_value").alias(name), f"{name}_found")
+    return joined.drop(*[c for c in columns if c != f"{name}_value"]).withColumnRenamed(
+        f"{name}_value", name
+    )
 
 
 def _exact_or_general(
@@ -254,11 +255,10 @@ def _exact_or_general(
 ) -> DataFrame:
     """The service's own cell where there is one (even if empty), else the general cell."""
     own, general = f"{name}_own", f"{name}_general"
-    keep = list(df.columns)
     df = _attach(df, card, {**keys, "service": F.coalesce(service, F.lit(""))}, own, **ranges)
     df = _attach(df, card, {**keys, "service": F.lit("")}, general, **ranges)
     chosen = F.when(F.col(f"{own}_found"), F.col(own)).otherwise(F.col(general))
-    return df.select(*keep, chosen.alias(name))
+    return df.withColumn(name, chosen).drop(own, general, f"{own}_found", f"{general}_found")
 
 
 def lookup_cost(
@@ -291,6 +291,10 @@ def lookup_fuel(
     return found.withColumn(name, F.coalesce(name, F.lit(0)).cast(RATE))
 
 
+def _margin_or_zero(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumn(name, F.coalesce(name, F.lit(0)).cast(RATE)).drop(f"{name}_found")
+
+
 def lookup_zone_margin(
     df: DataFrame, book: PriceBook, name: str = "zone_margin", *, seller: Column | None = None,
     zone: Column | None = None,
@@ -299,8 +303,7 @@ def lookup_zone_margin(
         "seller_id": F.col("seller_id") if seller is None else seller,
         "zone": F.col("zone") if zone is None else zone,
     }
-    found = _attach(df, book.zone_margin, keys, name)
-    return found.select(*df.columns, F.coalesce(name, F.lit(0)).cast(RATE).alias(name))
+    return _margin_or_zero(_attach(df, book.zone_margin, keys, name), name)
 
 
 def lookup_kilo_margin(
@@ -311,7 +314,7 @@ def lookup_kilo_margin(
     found = _attach(
         df, book.kilo_margin, keys, name, kilo=F.col("kilos") if kilo is None else kilo
     )
-    return found.select(*df.columns, F.coalesce(name, F.lit(0)).cast(RATE).alias(name))
+    return _margin_or_zero(found, name)
 
 
 def lookup_flat(
@@ -328,7 +331,7 @@ def lookup_flat(
         kilo=F.col("kilos") if kilo is None else kilo,
         day=F.col("ship_date") if day is None else day,
     )
-    return found.select(*df.columns, name)
+    return found.drop(f"{name}_found")
 
 
 def flat_with_vat(price: Column, rules: Rules) -> Column:
@@ -355,9 +358,8 @@ def price(
         "kilo": F.col("kilos") if kilo is None else kilo,
         "day": F.col("ship_date") if day is None else day,
     }
-    keep = [c for c in df.columns if c != name]
     rows = lookup_cost(
-        df.select(keep), book, "_cost", carrier=F.when(on_margin, F.col("carrier")), **ranges
+        df, book, "_cost", carrier=F.when(on_margin, F.col("carrier")), **ranges
     )
     rows = lookup_fuel(
         rows, book, "_fuel", carrier=F.when(on_margin, F.col("carrier")), day=ranges["day"]
@@ -379,4 +381,6 @@ def price(
         .when(on_margin, fine(F.col("_cost") * factor))
         .otherwise(F.lit(None).cast(FINE))
     )
-    return rows.select(*keep, value.alias(name))
+    return rows.withColumn(name, value).drop(
+        "_cost", "_fuel", "_zone_margin", "_kilo_margin", "_flat"
+    )

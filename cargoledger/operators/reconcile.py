@@ -5,9 +5,6 @@ dedup_invoices -> attribute -> classify_account -> value -> label.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,7 +69,7 @@ def charges_by_waybill(overweight: DataFrame, surcharges: DataFrame) -> DataFram
 
 
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select([F.col(c).alias(f"{prefix}{c}") for c in df.columns])
+    return df.toDF(*[f"{prefix}{c}" for c in df.columns])
 
 
 def original_shipments(invoices: DataFrame, shipments: DataFrame) -> DataFrame:
@@ -156,20 +153,23 @@ def attribute(
     )
 
 
+def _named(name: Column, exact_names: list[str], fragments: list[str]) -> Column:
+    """Name equals one of the names or contains one of the fragments, in any case."""
+    quoted = [f"^\\Q{n}\\E$" for n in exact_names] + [f"\\Q{f}\\E" for f in fragments]
+    return name.rlike(f"(?iu){'|'.join(quoted)}") if quoted else F.lit(False)
+
+
 def internal_match(name: Column, rules: Rules = DEFAULT_RULES) -> Column:
     """Whether a seller name is an internal account: exact, or by fragment; any case."""
-    upper = F.upper(name)
-    exact_names = [n.upper() for n, _ in rules.internal_accounts]
-    tests = [upper.isin(*exact_names)] if exact_names else []
-    tests += [upper.contains(f.upper()) for f, _ in rules.internal_fragments]
-    return reduce(or_, tests, F.lit(False))
+    return _named(
+        name, [n for n, _ in rules.internal_accounts], [f for f, _ in rules.internal_fragments]
+    )
 
 
 def internal_factor(name: Column, rules: Rules = DEFAULT_RULES) -> Column:
     """1 + agreed margin of the first matching internal rule, else 1."""
-    upper = F.upper(name)
-    tests = [(upper == n.upper(), m) for n, m in rules.internal_accounts]
-    tests += [(upper.contains(f.upper()), m) for f, m in rules.internal_fragments]
+    tests = [(_named(name, [n], []), m) for n, m in rules.internal_accounts]
+    tests += [(_named(name, [], [f]), m) for f, m in rules.internal_fragments]
     factor = F.lit(1).cast("decimal(10,6)")
     for test, agreed in reversed(tests):
         factor = F.when(test, plus(agreed).cast("decimal(10,6)")).otherwise(factor)

@@ -241,8 +241,8 @@ def detect_return(w: Workspace) -> DataFrame:
 
 @query
 def source_file_tag(w: Workspace) -> DataFrame:
-    return carriers.with_source_file(w.lineitem.select("l_orderkey", "l_linenumber", "_metadata"))\
-        .select("l_orderkey", "l_linenumber", "source_file")
+    tagged = carriers.with_source_file(w.scan("lineitem"))
+    return tagged.select("l_orderkey", "l_linenumber", "source_file")
 
 
 @query

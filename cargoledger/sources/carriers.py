@@ -7,7 +7,7 @@ projection, so a load is one scan with pruned columns and no shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 from operator import add
@@ -82,6 +82,11 @@ HEADER_MAPS = {
     "paquete_express_2": PAQUETE_EXPRESS,
 }
 DEFAULT_CURRENCY = "MXN"
+TEXT_COLUMNS = (
+    "waybill", "account", "reference", "service", "origin", "destination", "invoice_no",
+    "currency", "sender", "recipient", "zone",
+)
+AMOUNT_COLUMNS = ("freight", "insurance", "discount", "tax", "net_amount")
 # Header aliases of client invoice files, first present wins.
 CLIENT_KEY_HEADERS = ("No.De Guia", "guia")
 CLIENT_TOTAL_HEADERS = ("Total neto", "Total")
@@ -114,66 +119,78 @@ def drop_blank_rows(raw: DataFrame, key_header: str) -> DataFrame:
     field = _trimmed_headers(raw).get(key_header)
     if field is None:
         return raw.limit(0)
-    return raw.filter(cleaners.clean_text(column_of(field.name), field.dataType).isNotNull())
+    return raw.filter(cleaners.has_text(column_of(field.name), field.dataType))
 
 
 def normalise_invoices(
     raw: DataFrame, carrier: str, source_file: str | Column | None = None
 ) -> DataFrame:
-    """Raw carrier table -> canonical 24-column invoice lines."""
+    """Raw carrier table -> canonical 24-column invoice lines.
+
+    Cells of a kind go through one array transform. Two dozen inlined cleaners would make a
+    generated method too long for the JVM to compile, which is many times slower.
+    """
     spec = HEADER_MAPS[carrier]
     fields = _trimmed_headers(raw)
+    bound = {name: fields[h] for name, h in spec.headers.items() if h in fields}
+    texts = [n for n in TEXT_COLUMNS if n in bound]
+    amounts = [n for n in AMOUNT_COLUMNS if n in bound]
+    extras = [fields[h] for h in spec.surcharge_headers if h in fields]
 
-    def text(name: str) -> Column:
-        field = fields.get(spec.headers.get(name, ""))
-        if field is None:
-            return F.lit(None).cast("string")
-        return cleaners.clean_text(column_of(field.name), field.dataType)
+    def cell(field: T.StructField) -> Column:
+        return cleaners.as_text(column_of(field.name), field.dataType)
 
-    def number(header: str | None, target: str | T.DataType = AMOUNT) -> Column:
-        field = fields.get(header or "")
-        if field is None:
-            return F.lit(0).cast(target)
-        return cleaners.clean_number(column_of(field.name), target, field.dataType)
+    def cleaned(cells: list[Column], clean: Callable[[Column], Column], name: str) -> list[Column]:
+        return [F.transform(F.array(*cells), clean).alias(name)] if cells else []
 
     def date(name: str) -> Column:
-        field = fields.get(spec.headers[name])
+        field = bound.get(name)
         if field is None:
             return F.lit(None).cast("date")
         return cleaners.clean_date(column_of(field.name), field.dataType, spec.date_formats)
 
-    pieces = fields.get(spec.headers["pieces"])
-    present = [h for h in spec.surcharge_headers if h in fields]
-    amounts = {
-        name: number(spec.headers.get(name))
-        for name in ("freight", "insurance", "discount", "tax", "net_amount")
-    }
+    number = lambda c: cleaners.clean_number(c, AMOUNT)
+    pieces, kilos = bound.get("pieces"), bound.get("kilos")
     if source_file is None:
         origin = F.col("source_file") if "source_file" in raw.columns else F.lit(None)
     else:
         origin = source_file if isinstance(source_file, Column) else F.lit(source_file)
-    reference = text("reference")
-    columns = {
-        "carrier": F.lit(carrier),
-        "reference": reference,
-        "pieces": F.lit(None).cast("int")
-        if pieces is None
-        else cleaners.clean_pieces(column_of(pieces.name), pieces.dataType),
-        "kilos": number(spec.headers["kilos"], "double"),
-        "ship_date": date("ship_date"),
-        "invoice_date": date("invoice_date"),
-        "surcharges": reduce(add, [number(h) for h in present], F.lit(0).cast(AMOUNT)),
-        "currency": F.coalesce(text("currency"), F.lit(DEFAULT_CURRENCY))
-        if spec.has_currency
-        else F.lit(DEFAULT_CURRENCY),
-        "is_return": cleaners.detect_return(reference) if spec.marks_returns else F.lit(False),
-        "source_file": origin,
-        **amounts,
-    }
-    lines = drop_blank_rows(raw, spec.headers["waybill"]).select(
-        [columns.get(f.name, text(f.name)).alias(f.name) for f in CARRIER_INVOICES]
+    parts = drop_blank_rows(raw, spec.headers["waybill"]).select(
+        *cleaned([cell(bound[n]) for n in texts], cleaners.clean_text, "texts"),
+        *cleaned([cell(bound[n]) for n in amounts], number, "amounts"),
+        *cleaned([cell(f) for f in extras], number, "extras"),
+        (
+            F.lit(None)
+            if pieces is None
+            else cleaners.clean_pieces(column_of(pieces.name), pieces.dataType)
+        ).alias("pieces"),
+        (
+            F.lit(0.0)
+            if kilos is None
+            else cleaners.clean_number(column_of(kilos.name), "double", kilos.dataType)
+        ).alias("kilos"),
+        date("ship_date").alias("ship_date"),
+        date("invoice_date").alias("invoice_date"),
+        origin.alias("source_file"),
+    )
+    columns = {n: F.col("texts")[i] for i, n in enumerate(texts)}
+    columns |= {n: F.col("amounts")[i] for i, n in enumerate(amounts)}
+    columns |= {n: F.lit(None) for n in TEXT_COLUMNS if n not in bound}
+    columns |= {n: F.lit(0) for n in AMOUNT_COLUMNS if n not in bound}
+    columns["carrier"] = F.lit(carrier)
+    columns["surcharges"] = reduce(
+        add, [F.col("extras")[i] for i in range(len(extras))], F.lit(0).cast(AMOUNT)
+    )
+    columns["is_return"] = (
+        cleaners.detect_return(columns["reference"]) if spec.marks_returns else F.lit(False)
+    )
+    if spec.has_currency:
+        columns["currency"] = F.coalesce(columns["currency"], F.lit(DEFAULT_CURRENCY))
+    else:
+        columns["currency"] = F.lit(DEFAULT_CURRENCY)
+    return parts.select(
+        [columns.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in CARRIER_INVOICES]
     )
-    return conform(lines, CARRIER_INVOICES)
 
 
 def canonical_union(frames: Iterable[DataFrame]) -> DataFrame:
