@@ -25,6 +25,7 @@ from cargoledger.functions.money import FINE, RATE, fine, plus
 from cargoledger.rules import (
     AUTOMATIC, DEFAULT_RULES, FLAT, LEGACY_FLAT, MARGIN_METHODS, Rules,
 )
+from cargoledger.sources.tables import stored
 
 # What an absent bound stands for.
 FIRST_DAY, LAST_DAY = "1900-01-01", "2999-01-01"
@@ -93,7 +94,7 @@ def compile_card(
 
     ``order`` ranks overlapping rows, best first; equal ranks fall to the least value. Rows that
     agree on keys, bounds and rank are merged before anything else, so the work grows with the
-    distinct bands of a card and not with its rows. The card is placed by key once; bounds,
+    distinct bands of a card and not with its rows. Those are placed by key once; bounds,
     windows and joins all use that placement.
     """
     ranks = {f"rank_{i}": c for i, c in enumerate(order)}
@@ -108,9 +109,9 @@ def compile_card(
         card.select(
             *[c.alias(k) for k, c in {**keys, **bounds, **ranks}.items()], value.alias("value")
         )
-        .repartition(*[F.col(k) for k in keys])
         .groupBy(*keys, *bounds, *ranks)
         .agg(F.min("value").alias("value"))
+        .repartition(*[F.col(k) for k in keys])
     )
     names = list(keys)
     cells, cell = rows, list(names)
@@ -219,10 +220,7 @@ def store_price_book(book: PriceBook, folder: str) -> PriceBook:
     names = [f.name for f in fields(book)]
 
     def store(name: str) -> DataFrame:
-        card: DataFrame = getattr(book, name)
-        path = f"{folder.rstrip('/')}/{name}"
-        card.write.mode("overwrite").parquet(path)
-        return card.sparkSession.read.schema(card.schema).parquet(path)
+        return stored(getattr(book, name), f"{folder.rstrip('/')}/{name}")
 
     with ThreadPoolExecutor(len(names)) as pool:  # small independent jobs, submitted together
         return PriceBook(*pool.map(store, names))

@@ -51,6 +51,10 @@ def present(df: DataFrame) -> DataFrame:
     return df.select([shown(f) for f in df.schema])
 
 
+# Mapped tables a deployment would hold as files; written once, so queries start from a scan.
+PREPARED = (
+    "carrier_invoices", "shipments", "surcharges", "raw_dhl", "raw_fedex", "raw_paquete_express",
+)
 _STORED: dict[tuple[str, str, str], object] = {}
 
 
@@ -66,6 +70,11 @@ class Workspace(Domain):
             _STORED[key] = build(f"{tables.shared_folder(self.spark)}/{session}/{data}/{name}")
         return _STORED[key]
 
+    def table(self, name: str) -> DataFrame:
+        if name in PREPARED:
+            return self._stored(name, lambda path: tables.stored(self._build(name), path))
+        return super().table(name)
+
     @property
     def book(self) -> pricing.PriceBook:
         compiled = lambda: pricing.price_book(

@@ -85,6 +85,12 @@ def write_overwrite(df: DataFrame, path: str, partition_by: list[str] | None = N
     df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Write a table and read it back, which also gives the planner its true size."""
+    write_overwrite(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_slices(df: DataFrame, path: str, partition_by: list[str]) -> None:
     """Replace only the partitions present in ``df``."""
     (
