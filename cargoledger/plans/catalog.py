@@ -509,7 +509,7 @@ def tariff_preview_flat(w: Workspace) -> DataFrame:
 
 @query
 def tariff_matrix(w: Workspace) -> DataFrame:
-    return tariffs.tariff_matrix(w.preview)
+    return tariffs.tariff_matrix(w.preview, tariffs.ordered_zones(w.cost_rates))
 
 
 @query
