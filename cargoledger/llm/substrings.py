@@ -13,6 +13,8 @@ survives.
 * Of the seed windows only anchors take part: within each span of `window` words, the seed window
   with the least hash. Equal spans have equal anchors at equal places, so nothing is lost, and
   about one position in fourteen is shuffled instead of all.
+* A document whose whole text also stands under a smaller id goes as a whole (if it has a window);
+  its windows add nothing for others and are not compared. Whole texts are equal if 128 hash bits are.
 * Windows are compared by 96 bits of two independent hashes of their words, and only (hash, id)
   pairs are shuffled, one per window and document; places are found again from the text.
 * The least id per window is an aggregate that combines before the shuffle, and is stored, so the
@@ -175,6 +177,9 @@ def _removal_task(window: int) -> Callable:
                 at = np.flatnonzero(valid_starts(block, window))
                 at = _members(block, batch["hashes"], hashes, at)
                 gone = _covered(block, at, 0, window - 1)
+                counts = np.diff(block.first)
+                copy = batch["copy"].slice(block.row, block.rows).to_numpy(zero_copy_only=False)
+                gone |= np.repeat(copy & (counts >= window), counts)
                 data, kept, removed = block.data.tobytes(), [], []
                 for r in range(block.rows):
                     a, b = block.first[r], block.first[r + 1]
@@ -191,7 +196,7 @@ def _removal_task(window: int) -> Callable:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["doc_id"].slice(block.row, block.rows),
-                        pa.array(np.diff(block.first)),
+                        pa.array(counts),
                         pa.array(removed, pa.int64()),
                         pa.array(kept, pa.binary()).cast(pa.string()),
                     ],
@@ -222,9 +227,10 @@ def remove_repeats(
     lengths = level_lengths(window, levels)
     seed = lengths[0]
 
+    copies = common.stored(_later_copies(named), "later-copies")
     pairs = named.mapInArrow(_anchor_task(seed, window), _schema(kind, ("one", T.LongType())))
     anchors_at = common.scratch_path(docs.sparkSession, "anchors")
-    pairs = common.stored(pairs, "anchors", anchors_at)
+    pairs = common.stored(pairs.join(copies, "doc_id", "left_anti"), "anchors", anchors_at)
     shared = _in_several(pairs, ["one"], "shared-anchors")
     hashes = common.stored(_per_document(pairs.join(shared, "one")), "anchors-by-document")
     common.remove(docs.sparkSession, anchors_at)
@@ -241,12 +247,18 @@ def remove_repeats(
         else:
             hashes = common.stored(_per_document(pairs), f"hashes-{length}")
     none = F.array().cast("array<bigint>")
+    marks = hashes.select("doc_id", "hashes", F.lit(False).alias("copy")).union(
+        copies.select("doc_id", none, F.lit(True))
+    )
     # both joins read the named texts the same way, so one shuffle of them can serve both
-    marked = named.join(hashes, "doc_id", "left").select(
-        "doc_id", "text", F.coalesce("hashes", none).alias("hashes")
+    marked = named.join(marks, "doc_id", "left").select(
+        "doc_id",
+        "text",
+        F.coalesce("hashes", none).alias("hashes"),
+        F.coalesce("copy", F.lit(False)).alias("copy"),
     )
     marked = marked.union(
-        texts.where(F.col("doc_id").isNull()).select("doc_id", "text", none.alias("hashes"))
+        texts.where(F.col("doc_id").isNull()).select("doc_id", "text", none, F.lit(False))
     )
     return marked.mapInArrow(
         _removal_task(window),
@@ -258,6 +270,24 @@ def remove_repeats(
     )
 
 
+def _later_copies(texts: DataFrame) -> DataFrame:
+    """Ids all of whose texts also stand, wholly equal, under a smaller id."""
+    rows = texts.select(
+        "doc_id",
+        F.xxhash64("text").alias("h1"),
+        F.xxhash64(F.lit("second"), "text").alias("h2"),
+    )
+    heads = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("head"), F.count("*").alias("n"))
+    heads = common.stored(heads.where("n > 1").drop("n"), "copied-texts")
+    return (
+        rows.join(heads, ["h1", "h2"], "left")
+        .groupBy("doc_id")
+        .agg(F.min(F.coalesce(F.col("doc_id") > F.col("head"), F.lit(False))).alias("copy"))
+        .where("copy")
+        .select("doc_id")
+    )
+
+
 def _in_several(pairs: DataFrame, key: list[str], name: str) -> DataFrame:
     """The windows that occur in two documents or more, with the least id that has them."""
     ends = pairs.groupBy(*key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
