@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargoledger.llm import simhash, substrings
+from cargoledger.llm import chat, common, packing, quality, shards, simhash, substrings, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """File of a public tokenizer; installed with its library on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
+    archives = common.scratch_path(spark, "warc")
+    warc.write_archives(table(spark, folder, "pages"), archives)
+    records = warc.read_archives(spark, archives, with_payload=False)
+    return warc.resolve_revisits(records).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = substrings.remove_repeats(table(spark, folder, "documents"))
     return kept.select(
@@ -23,6 +39,38 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(table(spark, folder, "documents")).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
+
+
+def op8_balanced_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return shards.assign(table(spark, folder, "documents"))
+
+
+def op9_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)],
+        "conv_id long, turn long, role string, text string",
+    )
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    path = tokenizer("byte_bpe_50k.json")
+    return chat.digest(chat.store_formatted(given.union(more), path), path)
+
+
 def op10_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select(
@@ -32,8 +80,101 @@ def op10_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_warc_salvage": op1_warc_salvage,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_balanced_shards": op8_balanced_shards,
+    "op9_chat_formatting": op9_chat_formatting,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE: dict[str, str] = {
+    "op1_warc_salvage": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html,
+                   octet_length(encode(coalesce(html, ''))) AS n
+            FROM pages
+        ), h AS (
+            SELECT *, max(page_id) OVER (PARTITION BY html) AS head FROM p
+        )
+        SELECT page_id, n::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> head THEN head END AS refers_to
+        FROM h
+    """,
+    "op5_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        windows AS (
+            SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)
+        ),
+        least AS (SELECT k, min(doc_id) AS m FROM windows GROUP BY k),
+        hits AS (SELECT doc_id, i FROM windows JOIN least USING (k) WHERE m < doc_id),
+        gone AS (SELECT DISTINCT doc_id, i + s AS i FROM hits, range(50) t(s)),
+        words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+        kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n
+            FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+        )
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+               sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
+    "op7_quality_rules": f"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w,
+                   [x FOR x IN string_split(coalesce(text, ''), chr(10))
+                    IF regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS lines
+            FROM documents
+        ),
+        windows AS (
+            SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n
+            FROM (
+                SELECT doc_id, i, w[i:i + 4] AS k
+                FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)
+            )
+        ),
+        repeats AS (
+            SELECT doc_id, count(DISTINCT i + s) AS n
+            FROM windows, range(5) t(s) WHERE n > 1 GROUP BY doc_id
+        ),
+        m AS (
+            SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+                   len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+                   len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+                   coalesce(n, 0)::BIGINT AS n_repeat_words,
+                   len(regexp_extract_all(t, '[A-Z]')) AS capitals, len(regexp_extract_all(t, '[0-9]')) AS digits
+            FROM d LEFT JOIN repeats USING (doc_id)
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words
+                    OR 10 * n_symbols > 3 * n_words OR 10 * n_dup_lines > 3 * n_lines
+                    OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+                    OR 2 * capitals > word_chars OR 2 * digits > word_chars) AS kept
+        FROM m
+    """,
+    "op9_chat_formatting": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        ),
+        e AS (
+            SELECT *, length(regexp_replace(role, '(\\*)(<turn>|<say>|</turn>)', '\1\1\\\2', 'g'))
+                    + length(regexp_replace(text, '(\\*)(<turn>|<say>|</turn>)', '\1\1\\\2', 'g'))
+                    + length('<turn><say></turn>') AS n
+            FROM c
+        )
+        SELECT conv_id, count(*)::BIGINT AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, ''
+                                          ORDER BY turn, role, text), '')) AS loss_sha256,
+               sum(n)::BIGINT AS formatted_chars
+        FROM e GROUP BY conv_id
+    """,
+}
