@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,19 +31,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/llm-{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, path: str | None = None, free: bool = False) -> DataFrame:
     """Write a frame to the shared folder and read it back: computed once, lineage cut.
 
     A join against a stored table, unlike one against an aggregate, can be planned by the table's
-    size, and adaptive execution can split its hot keys. Shuffle files of the finished query go
-    once the driver has collected the objects that refer to them, so that is asked for here.
+    size, and adaptive execution can split its hot keys. `free` is for queries with large shuffles.
     """
     spark = df.sparkSession
     path = path or scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
+    if free:
+        free_shuffles(spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished queries.
+
+    Spark deletes them once the driver has collected the objects that refer to them, which a driver
+    with free memory may not do for hours. What the first pass releases a second one finds.
+    """
     gc.collect()
     spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    time.sleep(0.2)
+    spark._jvm.System.gc()
 
 
 def remove(spark: SparkSession, path: str) -> None:

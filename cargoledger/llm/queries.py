@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargoledger.llm import chat, common, packing, quality, shards, simhash, substrings, warc
+from cargoledger.llm import (
+    chat,
+    common,
+    latent,
+    licenses,
+    packing,
+    quality,
+    secrets,
+    shards,
+    simhash,
+    substrings,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +44,35 @@ def op1_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    paths, ledger = secrets.update_ledger(
+        table(spark, folder, "documents"), common.scratch_path(spark, "ledger")
+    )
+    found = secrets.findings(paths, ledger)
+    base = F.filter("found", lambda x: x["kind"].isin([r.kind for r in secrets.BASE_RULES]))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *(count(r.kind) for r in secrets.BASE_RULES),
+        F.sha2(secrets.spans_text(base), 256).alias("base_sha256"),
+        secrets.spans_text(F.col("found")).alias("spans"),
+    )
+
+
+def op3_latent_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    leaks = latent.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return leaks.select(
+        "doc_id", F.col("item").alias("item_id"), "common_words", "item_words", "answered"
+    )
+
+
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = substrings.remove_repeats(table(spark, folder, "documents"))
     return kept.select(
@@ -81,6 +122,9 @@ def op10_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_warc_salvage": op1_warc_salvage,
+    "op2_secret_ledger": op2_secret_ledger,
+    "op3_latent_decontamination": op3_latent_decontamination,
+    "op4_license_scan": op4_license_scan,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,

@@ -80,7 +80,8 @@ def _fingerprint_task(size: int):
                     out.append(text_fingerprint(words, size))
             values = np.array(out, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(values)], ["doc_id", "fingerprint"]
+                [batch["doc_id"], batch["text_hash"], pa.array(values)],
+                ["doc_id", "text_hash", "fingerprint"],
             )
 
     return task
@@ -89,10 +90,15 @@ def _fingerprint_task(size: int):
 def fingerprints(
     docs: DataFrame, size: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """doc_id and fingerprint (the 64 bits as a long) per row."""
-    texts = common.id_and_text(docs, id_column, text_column)
-    schema = T.StructType().add("doc_id", texts.schema["doc_id"].dataType)
-    return texts.mapInArrow(_fingerprint_task(size), schema.add("fingerprint", T.LongType()))
+    """doc_id, text_hash and fingerprint (the 64 bits as a long) per row."""
+    texts = common.id_and_text(docs, id_column, text_column).withColumn("text_hash", F.xxhash64("text"))
+    schema = (
+        T.StructType()
+        .add("doc_id", texts.schema["doc_id"].dataType)
+        .add("text_hash", T.LongType())
+        .add("fingerprint", T.LongType())
+    )
+    return texts.mapInArrow(_fingerprint_task(size), schema)
 
 
 def signed(value: int) -> int:
@@ -255,7 +261,7 @@ def near_duplicates(
     text_column: str = "text",
     tile: int = TILE,
 ) -> DataFrame:
-    """doc_id, fingerprint (long) and component_id (least id reachable) per row."""
+    """doc_id, text_hash, fingerprint (long) and component_id (least id reachable) per row."""
     marked = common.stored(fingerprints(docs, size, id_column, text_column), "fingerprints")
     nodes = common.stored(
         marked.groupBy(F.col("fingerprint").alias("node")).agg(F.min("doc_id").alias("least")),
@@ -268,7 +274,41 @@ def near_duplicates(
     )
     heads = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     heads = common.stored(heads, "heads")
-    named = common.stored(joined.join(heads, "component").select("node", "component_id"), "named")
+    named = common.stored(joined.join(heads, "component").select("node", "component", "component_id"), "named")
     return marked.join(named, marked["fingerprint"] == named["node"]).select(
-        "doc_id", "fingerprint", "component_id"
+        "doc_id", "text_hash", "fingerprint", "component_id", "component"
     )
+
+
+def keep_one(
+    docs: DataFrame,
+    size: int = SHINGLE,
+    bits: int = BITS,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+) -> DataFrame:
+    """One row of each component, with all its columns: that of the least id (rows without an id
+    only where the component has no other), and of the least text hash among rows that share it."""
+    found = near_duplicates(docs, size, bits, id_column, text_column)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    best = found.groupBy("component").agg(F.min(order).alias("best"))
+    winners = common.stored(
+        best.select(F.col("best.doc_id").alias("_id"), F.col("best.text_hash").alias("_hash")), "winners"
+    )
+    again = common.stored(
+        found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+        .agg(F.count("*").alias("n"))
+        .where("n > 1")
+        .select("_id", "_hash"),
+        "repeated-rows",
+    )
+    own_hash = F.xxhash64(docs[text_column])
+
+    def among(table: DataFrame) -> Column:
+        return docs[id_column].eqNullSafe(table["_id"]) & (own_hash == table["_hash"])
+
+    kept = docs.join(winners, among(winners), "left_semi")
+    # of wholly repeated rows one stays; there are none in a table with a proper id
+    single = kept.join(again, among(again), "left_anti")
+    several = kept.join(again, among(again), "left_semi").dropDuplicates([id_column, text_column])
+    return single.union(several)

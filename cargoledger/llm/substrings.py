@@ -230,9 +230,10 @@ def remove_repeats(
     copies = common.stored(_later_copies(named), "later-copies")
     pairs = named.mapInArrow(_anchor_task(seed, window), _schema(kind, ("one", T.LongType())))
     anchors_at = common.scratch_path(docs.sparkSession, "anchors")
-    pairs = common.stored(pairs.join(copies, "doc_id", "left_anti"), "anchors", anchors_at)
+    pairs = common.stored(pairs.join(copies, "doc_id", "left_anti"), "anchors", anchors_at, free=True)
     shared = _in_several(pairs, ["one"], "shared-anchors")
-    hashes = common.stored(_per_document(pairs.join(shared, "one")), "anchors-by-document")
+    hashes = _per_document(pairs.join(shared, "one"))
+    hashes = common.stored(hashes, "anchors-by-document", free=True)
     common.remove(docs.sparkSession, anchors_at)
 
     for short, length in zip(lengths, lengths[1:], strict=False):
@@ -243,14 +244,12 @@ def remove_repeats(
         shared = _in_several(pairs, ["one", "two"], f"shared-{length}")
         pairs = pairs.join(shared, ["one", "two"])
         if length == window:
-            hashes = _per_document(pairs.where(F.col("doc_id") > F.col("least")))
-        else:
-            hashes = common.stored(_per_document(pairs), f"hashes-{length}")
+            pairs = pairs.where(F.col("doc_id") > F.col("least"))
+        hashes = common.stored(_per_document(pairs), f"hashes-{length}", free=True)
     none = F.array().cast("array<bigint>")
     marks = hashes.select("doc_id", "hashes", F.lit(False).alias("copy")).union(
         copies.select("doc_id", none, F.lit(True))
     )
-    # both joins read the named texts the same way, so one shuffle of them can serve both
     marked = named.join(marks, "doc_id", "left").select(
         "doc_id",
         "text",
@@ -291,7 +290,7 @@ def _later_copies(texts: DataFrame) -> DataFrame:
 def _in_several(pairs: DataFrame, key: list[str], name: str) -> DataFrame:
     """The windows that occur in two documents or more, with the least id that has them."""
     ends = pairs.groupBy(*key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    return common.stored(ends.where("least < most").drop("most"), name)
+    return common.stored(ends.where("least < most").drop("most"), name, free=True)
 
 
 def _per_document(pairs: DataFrame) -> DataFrame:

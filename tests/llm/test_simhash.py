@@ -47,7 +47,7 @@ def expected(rows):
 
 def found(spark, rows, **how):
     frame = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, node int")
-    out = simhash.near_duplicates(frame, **how).collect()
+    out = simhash.near_duplicates(frame, **how).select("doc_id", "fingerprint", "component_id").collect()
     return sorted(((r[0], r[1] % (1 << 64), r[2]) for r in out), key=repr)
 
 
@@ -106,3 +106,19 @@ def test_long_and_short_texts(n):
         assert simhash.text_fingerprint(words) == plain_fingerprint(b" ".join(words).decode())
     else:
         assert simhash.text_fingerprint(words) == plain_fingerprint(b" ".join(words).decode())
+
+
+def test_keep_one_row_of_each_component(spark):
+    rows = corpus()
+    frame = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, node int")
+    kept = simhash.keep_one(frame)
+    assert kept.columns == frame.columns
+    groups = {}
+    for (d, t), (_, p) in zip(rows, [(d, plain_fingerprint(t)) for d, t in rows]):
+        groups.setdefault(p, []).append(d)
+    component = plain_components(groups)
+    out = [(r["doc_id"], component[plain_fingerprint(r["text"])]) for r in kept.collect()]
+    assert sorted(c for _, c in out) == sorted(set(component.values()))
+    for d, c in out:
+        ids = [x for p, own in groups.items() if component[p] == c for x in own if x is not None]
+        assert d == min(ids, default=None)
