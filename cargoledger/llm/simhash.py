@@ -174,7 +174,13 @@ def _link_groups(group: np.ndarray, values: np.ndarray, table: np.ndarray, bits:
             rows = np.arange(k, min(k + 256, a + n))
             left, right = np.divmod(np.arange(len(rows) * (a + n - k)), a + n - k)
             later = right > left
-            keep(k + left[later], k + right[later])
+            left, right = k + left[later], k + right[later]
+            ok = linked(left, right, values, table, bits)
+            # a dense group has a link for most pairs; a spanning forest of each chunk is enough
+            root = a + spanning_roots(n, left[ok] - a, right[ok] - a)
+            at = a + np.flatnonzero(root != np.arange(a, a + n))
+            lefts.append(at)
+            rights.append(root[at - a])
     left = np.concatenate([np.zeros(0, np.int64), *lefts])
     right = np.concatenate([np.zeros(0, np.int64), *rights])
     root = spanning_roots(len(group), left, right)
