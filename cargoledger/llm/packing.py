@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cargoledger.llm import common
-from cargoledger.llm.tokens import ChunkEncoder, pieces_of
+from cargoledger.llm.tokens import encoder, pieces_of
 
 CAPACITY = 2048
 SPARE = 8
@@ -42,10 +42,9 @@ END = 0
 
 def _piece_task(path: str, capacity: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path)
         for batch in batches:
             texts = pc.fill_null(batch["text"], "")
-            for row, ids, offsets in pieces_of(texts, encoder):
+            for row, ids, offsets in pieces_of(texts, encoder(path)):
                 rows, piece, start, length, crc = [], [], [], [], []
                 for r in range(len(offsets) - 1):
                     own = np.append(ids[offsets[r] : offsets[r + 1]], np.uint32(END)).astype("<u4")
