@@ -11,9 +11,13 @@ from pyspark.sql import types as T
 BLANKS_PATTERN = (
     "[ \\t\\n\\x0b\\f\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 )
+# two blanks in a row, or one that is no plain space
+ODD_BLANKS = "  |[" + BLANKS_PATTERN[2:-2] + "]"
 NOT_NUMBER_ENDINGS = ("d", "D", "f", "F", "n", "N", "y", "Y")
 DAY_FIRST_FORMATS = ("d/M/yyyy", "d/M/yyyy H:m", "d/M/yyyy H:m:s")
 ISO_FORMATS = ("yyyy-M-d", "yyyy-M-d H:m", "yyyy-M-d H:m:s")
+# a fraction of a second and a zone behind the time of an ISO text; the day is the written one
+ISO_TAIL = r"(?<=:[0-9]{1,2})([.,][0-9]+)?\s*(Z|[+-][0-9]{2}:?[0-9]{2})?$"
 RETURN_PATTERN = "^(?i:RT)[0-9]{10}$"
 ORIGIN_PATTERN = "[0-9]{10}"
 
@@ -34,8 +38,13 @@ def has_text(c: Column, kind: T.DataType = T.StringType()) -> Column:
 
 
 def clean_text(c: Column, kind: T.DataType = T.StringType()) -> Column:
-    """Collapse whitespace, trim, and turn empty text into NULL."""
-    collapsed = F.regexp_replace(as_text(c, kind), BLANKS_PATTERN, " ")
+    """Collapse whitespace, trim, and turn empty text into NULL.
+
+    Most cells hold single plain spaces at most; only others meet the pattern.
+    """
+    text = as_text(c, kind)
+    plain = ~text.rlike(ODD_BLANKS)
+    collapsed = F.when(plain, text).otherwise(F.regexp_replace(text, BLANKS_PATTERN, " "))
     return F.nullif(F.trim(collapsed), F.lit(""))
 
 
@@ -47,10 +56,16 @@ def clean_number_or_null(
     A text ending in a type suffix (``12d``), an infinity or a NaN casts to a double, so such
     endings are refused; decimals have no such forms.
     """
-    number = c.try_cast(target)
     if isinstance(kind, T.StringType) and target == "double":
+        number = c.try_cast(target)
         return F.when(~F.substring(F.trim(c), -1, 1).isin(*NOT_NUMBER_ENDINGS), number)
-    return number
+    number = c.try_cast(target)
+    if not isinstance(target, T.DecimalType) and not target.startswith("decimal"):
+        return number
+    # an amount beyond the type must not pass for an empty cell
+    too_large = number.isNull() & c.try_cast("decimal(38,6)").isNotNull()
+    error = F.raise_error(F.concat(F.lit("amount too large: "), c.cast("string"))).cast(target)
+    return F.when(too_large, error).otherwise(number)
 
 
 def clean_number(
@@ -84,6 +99,8 @@ def clean_date(
     if not isinstance(kind, T.StringType):
         return F.lit(None).cast("date")
     text = F.trim(c)
+    if formats == ISO_FORMATS:
+        text = F.regexp_replace(F.regexp_replace(text, "(?<=[0-9])T(?=[0-9])", " "), ISO_TAIL, "")
     colons = F.length(text) - F.length(F.replace(text, F.lit(":"), F.lit("")))
     parsed = F.lit(None).cast("timestamp")
     for count, form in enumerate(formats):  # the colons tell the one format that can match

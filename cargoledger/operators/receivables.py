@@ -260,10 +260,10 @@ def _lines(
 
 
 def charge_detail(
-    charges: DataFrame, recon: DataFrame, invoices: DataFrame, limit: int = 500,
+    charges: DataFrame, recon: DataFrame, invoices: DataFrame, limit: int | None = None,
     rules: Rules = DEFAULT_RULES,
 ) -> DataFrame:
-    """The largest lines of each charge, with their invoice line; top ``limit`` per charge."""
+    """The lines of each charge by amount, with their invoice line; with ``limit`` its largest."""
     amount = F.when(F.col("_is_extra"), F.col("extra")).otherwise(F.col("income"))
     lines = _lines(charges, recon, "inner", rules).select(
         "seller_id", F.col("ship_month").alias("month"), "waybill", F.col("is_return").alias("returned"),
@@ -273,14 +273,12 @@ def charge_detail(
         "waybill", "ship_date", "service", "destination", "kilos", "zone"
     )
     order = Window.partitionBy(*KEY).orderBy(F.col("amount").desc_nulls_last(), "waybill")
-    return (
-        lines.join(first, "waybill")
-        .withColumn("position", F.row_number().over(order))
-        .filter(F.col("position") <= limit)
-        .select(
-            *KEY, "position", "waybill", "ship_date", "service", "destination", "kilos", "zone",
-            F.col("returned").alias("is_return"), "amount",
-        )
+    placed = lines.join(first, "waybill").withColumn("position", F.row_number().over(order))
+    if limit is not None:
+        placed = placed.filter(F.col("position") <= limit)
+    return placed.select(
+        *KEY, "position", "waybill", "ship_date", "service", "destination", "kilos", "zone",
+        F.col("returned").alias("is_return"), "amount",
     )
 
 
@@ -290,6 +288,17 @@ def _split_tax(amount: Column, rules: Rules) -> tuple[Column, Column]:
     return subtotal, cents(amount - subtotal)
 
 
+def _statement_lines(charges: DataFrame, recon: DataFrame, rules: Rules) -> DataFrame:
+    """Base price of each costed waybill; its carrier is that of its first invoice line."""
+    base = F.col("income") - or_zero(F.col("surcharges"))
+    amount = F.when(F.col("_is_extra"), F.col("extra")).otherwise(base)
+    costed = _lines(charges, recon, "left", rules).filter(F.col("has_cost"))
+    return costed.select(
+        "seller_id", F.col("ship_month").alias("month"), "waybill",
+        F.col("carrier").alias("_carrier"), or_zero(amount).cast(CENTS).alias("total"),
+    )
+
+
 def client_statement(
     charges: DataFrame, recon: DataFrame, invoices: DataFrame, rules: Rules = DEFAULT_RULES
 ) -> DataFrame:
@@ -297,12 +306,7 @@ def client_statement(
 
     Surcharges are separate lines (``statement_surcharges``), so they are taken out here.
     """
-    base = F.col("income") - or_zero(F.col("surcharges"))
-    amount = F.when(F.col("_is_extra"), F.col("extra")).otherwise(base)
-    lines = _lines(charges, recon, "left", rules).select(
-        "seller_id", F.col("ship_month").alias("month"), "waybill",
-        or_zero(amount).cast(CENTS).alias("total"),
-    )
+    lines = _statement_lines(charges, recon, rules).drop("_carrier")
     shown = ("origin", "destination", "pieces", "recipient")
     first = dedup_invoices(invoices, *shown)
     subtotal, tax = _split_tax(F.col("total"), rules)
@@ -318,8 +322,8 @@ def client_statement(
 
 
 def statement_surcharges(
-    statement: DataFrame, charges: DataFrame, recon: DataFrame, surcharges: DataFrame,
-    credit_config: DataFrame, rules: Rules = DEFAULT_RULES,
+    charges: DataFrame, recon: DataFrame, surcharges: DataFrame, credit_config: DataFrame,
+    rules: Rules = DEFAULT_RULES,
 ) -> DataFrame:
     """Surcharge lines per seller, month, carrier and concept, at the client's price.
 
@@ -339,7 +343,11 @@ def statement_surcharges(
     config = credit_config.select("seller_id", F.col("margin").alias("_margin"))
     margin = or_zero(F.col("_margin")).cast("decimal(9,6)")
     price = cents(or_zero(F.col("_cost")) * plus(margin) * plus(rules.vat))
-    present = statement.select(*KEY, "carrier").distinct()
+    present = (
+        _statement_lines(charges, recon, rules)
+        .select(*KEY, F.col("_carrier").alias("carrier"))
+        .distinct()
+    )
     lines = (
         summed.join(config, "seller_id", "left")
         .withColumn("total", price)
@@ -352,10 +360,14 @@ def statement_surcharges(
     )
 
 
-def statement_totals(statement: DataFrame, surcharge_lines: DataFrame) -> DataFrame:
-    """Total per seller, month and carrier, surcharge lines included."""
-    columns = (*KEY, "carrier", "total")
-    both = statement.select(*columns).unionByName(surcharge_lines.select(*columns))
+def statement_totals(
+    charges: DataFrame, recon: DataFrame, surcharge_lines: DataFrame, rules: Rules = DEFAULT_RULES
+) -> DataFrame:
+    """Total per seller, month and carrier, surcharge lines included; reads no invoices."""
+    base = _statement_lines(charges, recon, rules).select(
+        *KEY, F.col("_carrier").alias("carrier"), "total"
+    )
+    both = base.unionByName(surcharge_lines.select(*KEY, "carrier", "total"))
     return both.groupBy(*KEY, "carrier").agg(total("total").alias("total"))
 
 

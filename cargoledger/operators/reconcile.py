@@ -155,7 +155,7 @@ def attribute(
 
 def _named(name: Column, exact_names: list[str], fragments: list[str]) -> Column:
     """Name equals one of the names or contains one of the fragments, in any case."""
-    quoted = [f"^\\Q{n}\\E$" for n in exact_names] + [f"\\Q{f}\\E" for f in fragments]
+    quoted = [f"^\\Q{n}\\E\\z" for n in exact_names] + [f"\\Q{f}\\E" for f in fragments]
     return name.rlike(f"(?iu){'|'.join(quoted)}") if quoted else F.lit(False)
 
 

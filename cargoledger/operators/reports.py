@@ -101,7 +101,7 @@ def kpis(recon: DataFrame) -> DataFrame:
 
 def prepaid_clients(
     recon: DataFrame, recharges: DataFrame, since: str | None = None, until: str | None = None,
-    limit: int | None = 500,
+    limit: int | None = None,
 ) -> DataFrame:
     """Prepaid accounts by client, costliest first.
 
@@ -132,7 +132,7 @@ def prepaid_clients(
 
 
 def credit_clients(
-    recon: DataFrame, since: str | None = None, until: str | None = None, limit: int | None = 500
+    recon: DataFrame, since: str | None = None, until: str | None = None, limit: int | None = None
 ) -> DataFrame:
     rows = month_range_filter(recon.filter(F.col("account_type") == "credit"), since, until)
     unbilled = F.when(F.col("income").isNull(), F.col("cost")).otherwise(F.lit(0).cast(CENTS))
@@ -192,7 +192,7 @@ def search_total(recon: DataFrame, **filters: str | None) -> DataFrame:
 
 
 def receivable(
-    recon: DataFrame, since: str | None = None, until: str | None = None, limit: int | None = 200
+    recon: DataFrame, since: str | None = None, until: str | None = None, limit: int | None = None
 ) -> DataFrame:
     """Open amounts by client and status."""
     rows = month_range_filter(recon.filter(F.col("status").isin(*OPEN_STATUSES)), since, until)
@@ -228,7 +228,7 @@ def close_months(recon: DataFrame, periods: DataFrame) -> DataFrame:
     )
 
 
-def close_detail(recon: DataFrame, month: str, limit: int | None = 3000) -> DataFrame:
+def close_detail(recon: DataFrame, month: str, limit: int | None = None) -> DataFrame:
     """A month by client and carrier, costliest first."""
     report = (
         recon.filter(F.col("ship_month") == month)
@@ -314,7 +314,7 @@ def tariff_clients(
     )
 
 
-def collections_worklist(recon: DataFrame, limit: int | None = 500) -> DataFrame:
+def collections_worklist(recon: DataFrame, limit: int | None = None) -> DataFrame:
     """Prepaid and credit clients billed at least 1 below cost, largest shortfall first."""
     billed = F.sum(or_zero(F.col("income")))
     report = (

@@ -22,9 +22,6 @@ from cargoledger.sources import carriers, mirror, surcharges, tables
 AS_OF = date(1999, 3, 15)
 MONTH = "1999-01"
 CLOSED_AT = "2002-02-01 08:00:00"
-SURCHARGE_COLUMNS = [
-    ("Extended area", "FF"), ("Oversize", "OO"), ("Handling", "OO"), ("Absent", "ZZ"),
-]
 
 Query = Callable[["Workspace"], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,10 +48,7 @@ def present(df: DataFrame) -> DataFrame:
     return df.select([shown(f) for f in df.schema])
 
 
-# Mapped tables a deployment would hold as files; written once, so queries start from a scan.
-PREPARED = (
-    "carrier_invoices", "shipments", "surcharges", "raw_dhl", "raw_fedex", "raw_paquete_express",
-)
+# Written once per session and data folder: the compiled price book and the result.
 _STORED: dict[tuple[str, str, str], object] = {}
 
 
@@ -70,11 +64,6 @@ class Workspace(Domain):
             _STORED[key] = build(f"{tables.shared_folder(self.spark)}/{session}/{data}/{name}")
         return _STORED[key]
 
-    def table(self, name: str) -> DataFrame:
-        if name in PREPARED:
-            return self._stored(name, lambda path: tables.stored(self._build(name), path))
-        return super().table(name)
-
     @property
     def book(self) -> pricing.PriceBook:
         compiled = lambda: pricing.price_book(
@@ -110,6 +99,25 @@ class Workspace(Domain):
             "reconciliation", lambda path: tables.write_reconciliation(self.reconciled, path)
         )
 
+    @property
+    def variant_files(self) -> str:
+        """Carrier files with two header orders; the second lacks columns the first has."""
+
+        def write(path: str) -> str:
+            raw = self.raw_dhl
+            shown = [F.col(f"`{f.name}`").cast("string").alias(f.name) for f in raw.schema]
+            odd = F.col("`No. Factura`").endswith("1") | F.col("`No. Factura`").endswith("7")
+            fewer = [c for c in reversed(raw.columns) if c not in ("Seguro", "Zona", "YB")]
+            text = raw.select(shown)
+            for name, part in (("a", text.where(~odd)), ("b", text.where(odd).select([F.col(f"`{c}`") for c in fewer]))):
+                part.write.mode("overwrite").csv(
+                    f"{path}/{name}", header=True, ignoreLeadingWhiteSpace=False,
+                    ignoreTrailingWhiteSpace=False, emptyValue="",
+                )
+            return f"{path}/*"
+
+        return self._stored("variants", write)
+
     @cached_property
     def lines(self) -> DataFrame:
         """First invoice lines with the columns the rate lookups read."""
@@ -149,7 +157,7 @@ class Workspace(Domain):
     @cached_property
     def surcharge_lines(self) -> DataFrame:
         return receivables.statement_surcharges(
-            self.statement, self.charges, self.recon, self.surcharges, self.credit_config
+            self.charges, self.recon, self.surcharges, self.credit_config
         )
 
 
@@ -181,7 +189,20 @@ def ingest_client_invoices(w: Workspace) -> DataFrame:
 
 @query
 def ingest_surcharges(w: Workspace) -> DataFrame:
-    return surcharges.ingest_surcharges(w.raw_dhl, "dhl", SURCHARGE_COLUMNS)
+    """All carriers, each by its columns in the mapping table."""
+    return surcharges.ingest_mapped(
+        {
+            "dhl": w.raw_dhl, "fedex": w.raw_fedex, "paquete_express": w.raw_paquete_express,
+            "paquete_express_2": w.raw_paquete_express,
+        },
+        w.surcharge_map,
+    )
+
+
+@query
+def ingest_header_variants(w: Workspace) -> DataFrame:
+    """One load of files whose columns differ in order and number, written from the raw table."""
+    return carriers.read_invoices(w.spark, f"{w.variant_files}/*.csv", "dhl", source_file="dhl.csv")
 
 
 @query
@@ -262,7 +283,7 @@ def latest_shipment(w: Workspace) -> DataFrame:
 
 @query
 def dedup_by_id(w: Workspace) -> DataFrame:
-    tie = ("sale_price", "carrier_name", "seller_id", "seller_name", "payment_model")
+    tie = mirror.SHIPMENT_TIES
     latest = mirror.dedup_by_id(w.shipment_facts, "shipment_id", "version", *tie)
     return latest.select("shipment_id", "version", "waybill", *tie)
 
@@ -758,7 +779,7 @@ def statement_surcharges(w: Workspace) -> DataFrame:
 
 @query
 def statement_totals(w: Workspace) -> DataFrame:
-    return receivables.statement_totals(w.statement, w.surcharge_lines)
+    return receivables.statement_totals(w.charges, w.recon, w.surcharge_lines)
 
 
 @query

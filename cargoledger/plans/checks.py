@@ -52,26 +52,37 @@ left join {shipments} o
   on l.is_return and o.waybill = nullif(regexp_extract(l.reference, '[0-9]{10}'), '')
 left join {overweight_sum} w on w.waybill = k.waybill
 left join {surcharge_sum} g on g.waybill = k.waybill"""
-_INTERNAL = (
-    "(upper(seller_name) in ('SN00449', 'SE00724') or upper(seller_name) like '%INBURSA%')"
-)
-_METHOD = "case when method = 'manual' then 'flat' when method is null then 'automatic' else method end"
-STEPS["accounts"] = f"""
-select b.*, {_METHOD} as billing_method, c.margin as client_margin,
-  case when not in_system then 'not_in_system'
-    when {_INTERNAL} then 'internal'
-    when payment_model = 'Prepago sin saldo' then 'credit'
-    when payment_model = 'Prepago' then 'prepaid' else 'other' end as account_type,
-  cast(case when {_INTERNAL} then 1.14 else 1 + coalesce(c.margin, 0.14) end as decimal(10,6))
-    as factor
-from {{sides}} b left join {{credit_config}} c on c.seller_id = b.seller_id"""
+_INTERNAL = "(regexp_matches(upper(seller_name), '^(SN00449|SE00724)$') or contains(upper(seller_name), 'INBURSA'))"
+_METHOD = "coalesce(replace(method, 'manual', 'flat'), 'automatic')"
+STEPS["house"] = f"select waybill from {{sides}} where in_system and {_INTERNAL}"
+STEPS["models"] = """
+select * from (values ('Prepago', 'prepaid'), ('Prepago sin saldo', 'credit')) as t(payment_model, kind)"""
+STEPS["kinds"] = """
+select waybill, 'not_in_system' as account_type from {sides} where not in_system
+union all
+select waybill, 'internal' from {house}
+union all
+select s.waybill, coalesce(m.kind, 'other')
+from (select * from {sides} where in_system) s anti join {house} h on h.waybill = s.waybill
+left join {models} m on m.payment_model = s.payment_model"""
+STEPS["billing"] = f"select seller_id, {_METHOD} as billing_method, margin from {{credit_config}}"
+STEPS["accounts"] = """
+select s.*, n.account_type, coalesce(c.billing_method, 'automatic') as billing_method,
+  c.margin as client_margin,
+  cast(1 + coalesce(case when h.waybill is null then c.margin end, 0.14) as decimal(10,6)) as factor
+from {sides} s join {kinds} n on n.waybill = s.waybill left join {house} h on h.waybill = s.waybill
+left join {billing} c on c.seller_id = s.seller_id"""
 
 _VALID = (
-    "{day} between coalesce(r.valid_from, date '1900-01-01') and coalesce(r.valid_to, date '2999-01-01')"
+    "({day} is not null and (r.valid_from is null or r.valid_from <= {day}) "
+    "and (r.valid_to is null or {day} <= r.valid_to))"
 )
-_BAND = "{kilo} >= coalesce(r.kilo_min, -1e12) and {kilo} < coalesce(r.kilo_max, 1e12)"
-_SERVICE = "coalesce(r.service, '') in ('', coalesce(b.service, ''))"
-_EXACT = "(coalesce(r.service, '') = coalesce(b.service, ''))"
+_BAND = (
+    "({kilo} is not null and (r.kilo_min is null or r.kilo_min <= {kilo}) "
+    "and (r.kilo_max is null or {kilo} < r.kilo_max))"
+)
+_SERVICE = "(nullif(r.service, '') is null or r.service = b.service)"
+_EXACT = "(nullif(r.service, '') is not distinct from nullif(b.service, ''))"
 
 
 def _best_cost(rows: str, key: str, kilo: str, day: str) -> str:
@@ -128,37 +139,51 @@ left join {{account_fuel}} u on u.waybill = a.waybill
 left join {{zone_unique}} z on z.seller_id = a.seller_id and z.zone = a.zone
 left join {{account_kilo}} k on k.waybill = a.waybill
 left join {{account_flat}} f on f.waybill = a.waybill"""
-_TARIFF = "(account_type = 'credit' and billing_method <> 'automatic')"
-STEPS["amounts"] = f"""
-select *,
-  case when {_TARIFF} then cast(surcharge_cost * cast(1 + coalesce(client_margin, 0) as decimal(20,6))
-    * 1.16 as decimal(30,10)) else 0 end as surcharge_price,
+STEPS["billed"] = """
+select *, account_type = 'credit' and billing_method <> 'automatic' as by_tariff,
   cast(coalesce(sale_price, 0) + overweight as decimal(30,10)) as already_billed,
   cast(cast(cost as decimal(24,6)) * factor as decimal(30,10)) as floor_price
-from {{tariffed}}"""
-STEPS["valued"] = f"""
-select *,
-  cast(case when has_cost and not {_TARIFF} then greatest(0, floor_price - already_billed)
-    else 0 end as decimal(30,10)) as extra_raw,
-  cast(case when not has_cost then already_billed when account_type = 'internal' then floor_price
-    when {_TARIFF} then tariff_price + surcharge_price
-    when account_type in ('credit', 'prepaid', 'other') then greatest(already_billed, floor_price)
-    end as decimal(30,10)) as income_raw
-from {{amounts}}"""
-STEPS["recon"] = f"""
-select waybill, carrier, coalesce(seller_name, sender) as client, seller_id, payment_model,
-  account_type, billing_method as method, is_return, has_cost,
-  cast(cost as decimal(18,2)) as cost, cast(sale_price as decimal(18,6)) as sale_price,
-  cast(overweight as decimal(18,2)) as overweight_billed, tariff_price,
+from {tariffed}"""
+STEPS["amounts"] = """
+select *, cast(0 as decimal(30,10)) as surcharge_price from {billed} where not by_tariff
+union all
+select *, cast(surcharge_cost * cast(1 + coalesce(client_margin, 0) as decimal(20,6)) * 1.16
+  as decimal(30,10)) from {billed} where by_tariff"""
+STEPS["incomes"] = """
+select waybill, already_billed as income_raw from {amounts} where not has_cost
+union all
+select waybill, floor_price from {amounts} where has_cost and account_type = 'internal'
+union all
+select waybill, tariff_price + surcharge_price from {amounts} where has_cost and by_tariff
+union all
+select waybill, greatest(already_billed, floor_price) from {amounts}
+where has_cost and not by_tariff and account_type in ('credit', 'prepaid', 'other')"""
+STEPS["extras"] = """
+select waybill, floor_price - already_billed as extra_raw from {amounts}
+where has_cost and not by_tariff and floor_price > already_billed"""
+STEPS["valued"] = """
+select a.*, cast(coalesce(e.extra_raw, 0) as decimal(30,10)) as extra_raw,
+  cast(i.income_raw as decimal(30,10)) as income_raw
+from {amounts} a left join {extras} e on e.waybill = a.waybill
+left join {incomes} i on i.waybill = a.waybill"""
+# every label that fits a waybill, and its rank; the first one counts
+STEPS["fitting"] = """
+select waybill, 6 as place, 'billed_ok' as status from {valued}
+union all select waybill, 5, 'extra_due' from {valued} where extra_raw > 0.5
+union all select waybill, 4, 'credit_unbilled' from {valued} where by_tariff and tariff_price is null
+union all select waybill, 3, 'internal' from {valued} where account_type = 'internal'
+union all select waybill, 2, 'billed_cost_pending' from {valued} where not has_cost
+union all select waybill, 1, 'not_in_system' from {valued} where not in_system"""
+STEPS["labels"] = "select waybill, min_by(status, place) as status from {fitting} group by waybill"
+STEPS["recon"] = """
+select v.waybill, l.status, is_return, has_cost, carrier, coalesce(seller_name, sender) as client,
+  seller_id, account_type, payment_model, billing_method as method, tariff_price,
+  strftime(invoice_date, '%Y-%m') as invoice_month, strftime(ship_date, '%Y-%m') as ship_month,
+  cast(sale_price as decimal(18,6)) as sale_price, cast(cost as decimal(18,2)) as cost,
+  cast(income_raw as decimal(18,2)) as income, cast(income_raw - cost as decimal(18,2)) as margin,
   cast(extra_raw as decimal(18,2)) as extra, cast(surcharge_price as decimal(18,2)) as surcharges,
-  cast(income_raw as decimal(18,2)) as income,
-  cast(income_raw - cost as decimal(18,2)) as margin,
-  case when not in_system then 'not_in_system' when not has_cost then 'billed_cost_pending'
-    when account_type = 'internal' then 'internal'
-    when {_TARIFF} and tariff_price is null then 'credit_unbilled'
-    when extra_raw > 0.5 then 'extra_due' else 'billed_ok' end as status,
-  strftime(ship_date, '%Y-%m') as ship_month, strftime(invoice_date, '%Y-%m') as invoice_month
-from {{valued}}"""
+  cast(overweight as decimal(18,2)) as overweight_billed
+from {valued} v join {labels} l on l.waybill = v.waybill"""
 
 
 def statement(body: str) -> str:
@@ -303,15 +328,29 @@ check(
       {_number('"Total neto"')} as total, 'clients.csv' as source_file
     from {{raw_client_invoices}} where "guia" is not null""",
 )
+_SURCHARGE_CELLS = {
+    ("dhl", "raw_dhl", "No.De Guia"): (("Extended area", "FF"), ("Oversize", "OO "), ("Handling", "OO ")),
+    ("fedex", "raw_fedex", "Guia"): (("Fuel", "Fuel_Surcharge"), ("Extended area", "ODA")),
+    ("paquete_express", "raw_paquete_express", "Rastreo"): (("Other", "Otros"), ("Extended area", "RAD")),
+    ("paquete_express_2", "raw_paquete_express", "Rastreo"): (("Extended area", "RAD"),),
+}
 check(
     "ingest_surcharges", "carrier waybill concept amount:n",
     " union all ".join(
-        f"""select 'dhl' as carrier, trim("No.De Guia") as waybill, '{concept}' as concept,
+        f"""select '{carrier}' as carrier, trim("{key}") as waybill, '{concept}' as concept,
           {_number(f'"{column}"')} as amount
-        from {{raw_dhl}} where trim("No.De Guia") <> '' and {_number(f'"{column}"')} <> 0"""
-        for concept, column in (("Extended area", "FF"), ("Oversize", "OO "), ("Handling", "OO "))
+        from {{{table}}} where trim("{key}") <> '' and {_number(f'"{column}"')} <> 0"""
+        for (carrier, table, key), cells in _SURCHARGE_CELLS.items()
+        for concept, column in cells
     ),
 )
+check(
+    "ingest_header_variants", CANONICAL,
+    f"""select * replace (
+      case when regexp_matches(invoice_no, '[17]$') then 0 else insurance end as insurance,
+      case when regexp_matches(invoice_no, '[17]$') then null else zone end as zone)
+    from ({_DHL_LINES})""",
+)
 check(
     "clean_text", "waybill reference sender recipient",
     f"""select {_text('"No.De Guia"')} as waybill, {_text('"Referencia"')} as reference,
@@ -352,8 +391,20 @@ check(
 )
 
 
+def _current(table: str, key: str) -> str:
+    """Rows that no later version of their id supersedes."""
+    return f"""select f.* from {{{table}}} f join (
+    select {key}, max(version) as version from {{{table}}} group by {key}) m
+  on m.{key} = f.{key} and m.version = f.version"""
+
+
+STEPS["shipments_now"] = _current("shipment_facts", "shipment_id")
+STEPS["wallet_now"] = _current("wallet_transactions", "transaction_id")
+STEPS["recharges_now"] = _current("recharge_facts", "recharge_id")
+
+
 def _latest(column: str, where: str) -> str:
-    return f"""(select waybill, {column} from {{shipment_facts}}
+    return f"""(select waybill, {column} from {{shipments_now}}
   where {column} is not null and {where}
   qualify row_number() over (partition by waybill order by created_at desc, {column} desc) = 1)"""
 
@@ -361,7 +412,7 @@ def _latest(column: str, where: str) -> str:
 def _latest_shipments(where: str) -> str:
     return f"""
 select k.waybill, a.seller_id, b.seller_name, c.payment_model, d.sale_price, k.created_at
-from (select waybill, max(created_at) as created_at from {{shipment_facts}}
+from (select waybill, max(created_at) as created_at from {{shipments_now}}
       where {where} group by waybill) k
 left join {_latest('seller_id', where)} a on a.waybill = k.waybill
 left join {_latest('seller_name', where)} b on b.waybill = k.waybill
@@ -386,14 +437,14 @@ check(
 )
 check(
     "overweight_rollup", "waybill amount:n",
-    """select reference as waybill, round(sum(amount), 2) as amount from {wallet_transactions}
+    """select reference as waybill, round(sum(amount), 2) as amount from {wallet_now}
     where transaction_type = 'Cargo por sobrepeso' and reference is not null and reference <> ''
     group by reference""",
 )
 check(
     "recharge_rollup", "seller_id seller_name recharges:n",
     """select seller_id, any_value(seller_name) as seller_name, round(sum(amount), 2) as recharges
-    from {recharge_facts} where created_at >= timestamp '2024-01-01' group by seller_id""",
+    from {recharges_now} where created_at >= timestamp '2024-01-01' group by seller_id""",
 )
 PAYMENT = "payment_id seller_id month paid_on:d amount:n note recorded_at:t"
 check(
@@ -613,13 +664,38 @@ check("tariff_history", VERSION, "select * from {tariff_versions}")
 
 # --- reports --------------------------------------------------------------------------------
 _PCT = "round(cast(100.0::double * cast({0} as double) / nullif(cast({1} as double), 0) as decimal(28,9)), 1)"
-_DUE = """case status when 'extra_due' then coalesce(extra, 0)
-  when 'credit_unbilled' then cost - coalesce(income, 0) else 0 end"""
-_REALISED = """sum(case when cost is not null then income else 0 end) as income,
-  sum(case when cost is not null and income is not null then income - cost else 0 end) as {0},
-  sum({1}) as receivable, sum(case when cost is null then coalesce(income, 0) else 0 end) as to_accrue"""
-_RETURNS = """sum(case when is_return then cost else 0 end) as return_cost,
-  count(*) filter (is_return) as return_waybills"""
+# amounts a report sums, one row each: what was realised, is due, is to accrue, came back
+STEPS["ledger"] = """
+select 'income' as kind, income as amount, client, status, ship_month, account_type
+from {recon} where cost is not null and income is not null
+union all
+select 'profit', income - cost, client, status, ship_month, account_type
+from {recon} where cost is not null and income is not null
+union all
+select 'due', extra, client, status, ship_month, account_type
+from {recon} where status = 'extra_due' and extra is not null
+union all
+select 'due', cost - coalesce(income, 0), client, status, ship_month, account_type
+from {recon} where status = 'credit_unbilled'
+union all
+select 'accrue', income, client, status, ship_month, account_type
+from {recon} where cost is null and income is not null
+union all
+select 'returned', cost, client, status, ship_month, account_type from {recon} where is_return
+union all
+select 'unbilled', cost, client, status, ship_month, account_type from {recon} where income is null"""
+
+
+def _ledger(key: str, where: str = "true", **kinds: str) -> str:
+    """Sums of the named kinds by a key."""
+    sums = ", ".join(
+        f"coalesce(sum(amount) filter (kind = '{kind}'), 0) as {name}" for name, kind in kinds.items()
+    )
+    return f"""(select {key} as key, {sums}, count(*) filter (kind = 'returned') as n_returned
+  from {{ledger}} where {where} group by 1)"""
+
+
+_REALISED = {"income": "income", "receivable": "due", "to_accrue": "accrue"}
 _TOTALS = "count(*) as waybills, sum(cost) as cost, sum(income) as income, sum(income) - sum(cost) as margin"
 TOTALS = "waybills cost:n income:n margin:n"
 check(
@@ -628,35 +704,41 @@ check(
 )
 check(
     "kpis", "waybills cost:n income:n margin:n receivable:n to_accrue:n",
-    f"""select count(*) as waybills, sum(cost) as cost, {_REALISED.format('margin', _DUE)}
-    from {{recon}}""",
+    f"""select t.*, income, profit as margin, receivable, to_accrue
+    from (select 'all' as key, count(*) as waybills, sum(cost) as cost from {{recon}}) t
+    left join {_ledger("'all'", **_REALISED, profit='profit')} l on l.key = t.key""",
 )
 STEPS["client_recharges"] = """
 select client, sum(r.recharges) as recharges from (
   select distinct client, seller_id from {recon} where account_type = 'prepaid') p
 join {recharges} r on r.seller_id = p.seller_id group by client"""
+
+
+def _clients(kind: str) -> str:
+    """Sums by client of one account type, with what came back."""
+    back = _ledger("client", f"account_type = '{kind}'", return_cost="returned", unbilled_cost="unbilled")
+    return f"""(select t.*, coalesce(l.return_cost, 0) as return_cost,
+    coalesce(l.n_returned, 0) as return_waybills, coalesce(l.unbilled_cost, 0) as unbilled_cost
+  from (select client, count(*) as waybills, sum(cost) as cost, coalesce(sum(income), 0) as income,
+      coalesce(sum(extra), 0) as extra, coalesce(sum(surcharges), 0) as surcharges,
+      sum(overweight_billed) as overweight
+    from {{recon}} where account_type = '{kind}' group by client) t
+  left join {back} l on l.key is not distinct from t.client)"""
+
+
 check(
     "prepaid_clients",
     "client waybills cost:n income:n margin:n margin_pct:n extra:n overweight:n return_cost:n "
     "return_waybills recharges:n",
-    f"""select t.client, waybills, cost, income, income - cost as margin,
-      {_PCT.format('(income - cost)', 'cost')} as margin_pct, extra, overweight, return_cost,
-      return_waybills, g.recharges
-    from (select client, count(*) as waybills, sum(cost) as cost, sum(income) as income,
-        sum(coalesce(extra, 0)) as extra, sum(overweight_billed) as overweight, {_RETURNS}
-      from {{recon}} where account_type = 'prepaid' group by client) t
-    left join {{client_recharges}} g on g.client = t.client
-    order by cost desc nulls last, t.client limit 500""",
+    f"""select t.*, income - cost as margin, {_PCT.format('(income - cost)', 'cost')} as margin_pct,
+      g.recharges
+    from {_clients('prepaid')} t left join {{client_recharges}} g on g.client = t.client""",
 )
 check(
     "credit_clients",
     "client waybills cost:n billed:n unbilled_cost:n surcharges:n overweight:n return_cost:n "
     "return_waybills",
-    f"""select client, count(*) as waybills, sum(cost) as cost, sum(coalesce(income, 0)) as billed,
-      sum(case when income is null then cost else 0 end) as unbilled_cost,
-      sum(coalesce(surcharges, 0)) as surcharges, sum(overweight_billed) as overweight, {_RETURNS}
-    from {{recon}} where account_type = 'credit' group by client
-    order by cost desc nulls last, client limit 500""",
+    f"select *, income as billed from {_clients('credit')}",
 )
 _MATCH = "status = 'extra_due' and client ilike '%customer%' and waybill ilike '%1%'"
 check(
@@ -674,26 +756,29 @@ check(
 )
 check(
     "receivable", "client status waybills cost:n amount_due:n",
-    f"""select client, status, count(*) as waybills, sum(cost) as cost, sum({_DUE}) as amount_due
-    from {{recon}} where status in ('extra_due', 'credit_unbilled') group by client, status
-    order by amount_due desc nulls last, client, status limit 200""",
+    """select t.*, coalesce(d.amount, 0) as amount_due
+    from (select client, status, count(*) as waybills, sum(cost) as cost from {recon}
+      where status in ('extra_due', 'credit_unbilled') group by client, status) t
+    left join (select client, status, sum(amount) as amount from {ledger} where kind = 'due'
+      group by client, status) d on d.client is not distinct from t.client and d.status = t.status""",
 )
 check(
     "close_months",
     "month waybills cost:n income:n profit:n receivable:n to_accrue:n closed_at:t status",
-    f"""select m.*, p.closed_at, coalesce(p.status, 'open') as status from (
-      select ship_month as month, count(*) as waybills, sum(cost) as cost,
-        {_REALISED.format('profit', _DUE)}
-      from {{recon}} where ship_month is not null group by ship_month) m
-    left join {{periods}} p on p.month = m.month""",
+    f"""select t.*, coalesce(l.income, 0) as income, coalesce(l.profit, 0) as profit,
+      coalesce(receivable, 0) as receivable, coalesce(to_accrue, 0) as to_accrue, p.closed_at,
+      coalesce(p.status, 'open') as status
+    from (select ship_month as month, count(*) as waybills, sum(cost) as cost from {{recon}}
+      where ship_month is not null group by ship_month) t
+    left join {_ledger('ship_month', **_REALISED, profit='profit')} l on l.key = t.month
+    left join {{periods}} p on p.month = t.month""",
 )
 check(
     "close_detail", "client carrier waybills cost:n billed:n margin:n",
-    """select client, carrier, count(*) as waybills, sum(cost) as cost,
-      sum(coalesce(income, 0)) as billed,
-      sum(coalesce(income, 0)) - sum(coalesce(cost, 0)) as margin
-    from {recon} where ship_month = '1999-01' group by client, carrier
-    order by cost desc nulls last, client, carrier limit 3000""",
+    """select *, billed - coalesce(cost, 0) as margin from (
+      select client, carrier, count(*) as waybills, sum(cost) as cost,
+        coalesce(sum(income), 0) as billed
+      from {recon} where ship_month = '1999-01' group by client, carrier)""",
 )
 check(
     "close_month", "month status cost:n income:n profit:n closed_at:t",
@@ -724,11 +809,11 @@ check(
 )
 check(
     "collections_worklist", "client account_type waybills cost:n billed:n shortfall:n billed_pct:n",
-    f"""select client, min(account_type) as account_type, count(*) as waybills, sum(cost) as cost,
-      sum(coalesce(income, 0)) as billed, sum(cost) - sum(coalesce(income, 0)) as shortfall,
-      {_PCT.format('sum(coalesce(income, 0))', 'sum(cost)')} as billed_pct
-    from {{recon}} where account_type in ('prepaid', 'credit') group by client
-    having sum(cost) - sum(coalesce(income, 0)) > 1 order by shortfall desc, client limit 500""",
+    f"""select *, cost - billed as shortfall, {_PCT.format('billed', 'cost')} as billed_pct from (
+      select client, min(account_type) as account_type, count(*) as waybills, sum(cost) as cost,
+        coalesce(sum(income), 0) as billed
+      from {{recon}} where account_type in ('prepaid', 'credit') group by client)
+    where cost - billed > 1""",
 )
 check(
     "by_client", f"client account_type {TOTALS} margin_pct:n",
@@ -785,16 +870,18 @@ for _name, _columns in {
     check(f"list_{_name}", _columns, f"select * from {{{_name}}}")
 
 # --- receivables ----------------------------------------------------------------------------
-STEPS["generated"] = """
-select seller_id, min(client) as client, ship_month as month, 'credit' as account_type,
-  'invoice' as concept, count(*) as waybills, sum(income) as amount
-from {recon} where seller_id is not null and ship_month is not null and account_type = 'credit'
-  and income is not null group by seller_id, ship_month having sum(income) > 0
+STEPS["chargeable"] = """
+select seller_id, client, ship_month as month, 'credit' as account_type, 'invoice' as concept,
+  income as amount, 1 as counted, 0 as more_than
+from {recon} where account_type = 'credit' and income is not null
 union all
-select seller_id, min(client), ship_month, 'prepaid', 'extra', count(*) filter (extra > 0.5),
-  sum(extra)
-from {recon} where seller_id is not null and ship_month is not null and account_type = 'prepaid'
-group by seller_id, ship_month having sum(extra) > 0.5"""
+select seller_id, client, ship_month, 'prepaid', 'extra', extra, case when extra > 0.5 then 1 end, 0.5
+from {recon} where account_type = 'prepaid'"""
+STEPS["generated"] = """
+select seller_id, min(client) as client, month, account_type, concept, count(counted) as waybills,
+  sum(amount) as amount
+from {chargeable} where seller_id is not null and month is not null
+group by seller_id, month, account_type, concept having sum(amount) > max(more_than)"""
 check(
     "generate_charges", "seller_id client month account_type concept waybills amount:n",
     "select * from {generated}",
@@ -911,8 +998,7 @@ check(
           as place
       from {recon} r join {charges} c on c.seller_id = r.seller_id and c.month = r.ship_month
       join {first_line_detail} l on l.waybill = r.waybill
-      where c.concept <> 'extra' or r.extra > 0.5)
-    where place <= 500""",
+      where c.concept <> 'extra' or r.extra > 0.5)""",
 )
 _SPLIT = """cast(round(total / 1.16, 2) as decimal(18,2)) as subtotal,
   total - cast(round(total / 1.16, 2) as decimal(18,2)) as tax"""

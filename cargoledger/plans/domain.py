@@ -13,12 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cargoledger import schemas
 from cargoledger.schemas import conform
-from cargoledger.sources.tables import spread
 
 GIVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
-FACTS = ("lineitem",)  # large enough that one task should not read it all
-
 ORDER_KEY = "lpad(cast(l_orderkey as string), 10, '0')"
 IS_RETURN = "(l_returnflag = 'R' and l_linenumber = 7)"
 CARRIER = (
@@ -75,12 +72,12 @@ select case when o_orderpriority = '5-LOW' and o_orderstatus = 'P'
   o_orderdate as created_at
 from {orders} join {customer} on o_custkey = c_custkey"""
 
-DOMAIN["shipment_facts"] = f"""
+# Warehouse facts keep superseded versions: an older row of some ids, with another carrier or amount.
+DOMAIN["shipment_versions"] = f"""
 select l_orderkey * 10 + l_linenumber as shipment_id,
   l_shipdate as version,
   {ORDER_KEY} as waybill,
-  case l_suppkey % 4 when 0 then 'DHL' when 1 then 'FEDEX' when 2 then 'PAQUETERIA EXPRESS'
-    else 'OTHER' end as carrier_name,
+  l_suppkey % 4 as carrier_no,
   case when l_discount < 0.005 then null else o_custkey + l_linenumber end as seller_id,
   case when l_discount < 0.015 then null else 'Seller ' || cast(l_suppkey as string) end
     as seller_name,
@@ -88,31 +85,57 @@ select l_orderkey * 10 + l_linenumber as shipment_id,
   case when l_tax < 0.005 then null else cast({PRICE} as decimal(18,6)) end as sale_price,
   l_shipdate as created_at
 from {{lineitem}} join {{orders}} on l_orderkey = o_orderkey"""
+_FACT = """select shipment_id, {version} as version, waybill,
+  case {carrier} when 0 then 'DHL' when 1 then 'FEDEX' when 2 then 'PAQUETERIA EXPRESS'
+    else 'OTHER' end as carrier_name,
+  seller_id, seller_name, payment_model, {price} as sale_price, created_at
+from {{shipment_versions}}"""
+DOMAIN["shipment_facts"] = (
+    _FACT.format(version="version", carrier="carrier_no", price="sale_price")
+    + " union all "
+    + _FACT.format(
+        version="version - interval '3' day", carrier="(carrier_no + 1) % 4",
+        price="cast(sale_price + 1000 as decimal(18,6))",
+    )
+    + " where shipment_id % 5 = 0"
+)
 
-DOMAIN["wallet_transactions"] = """
-select event_id as transaction_id,
+DOMAIN["wallet_latest"] = """
+select event_id as transaction_id, ts as version,
   case event_type when 'error' then 'Cargo por sobrepeso' else event_type end as transaction_type,
   case when value < 2 then '' when value < 4 then null
        else lpad(cast(cast(floor(event_id / 2) as bigint) as string), 10, '0') end as reference,
   cast(cast(value as decimal(18,2)) * 100 as decimal(18,6)) as amount,
   ts as created_at
 from {events}"""
+DOMAIN["wallet_transactions"] = """
+select * from {wallet_latest}
+union all
+select transaction_id, version - interval '2' day as version, transaction_type, reference,
+  cast(amount + 50 as decimal(18,6)) as amount, created_at
+from {wallet_latest} where transaction_id % 3 = 0"""
 
-DOMAIN["recharge_facts"] = """
-select event_id as recharge_id, user_id as seller_id,
+DOMAIN["recharge_latest"] = """
+select event_id as recharge_id, ts as version, user_id as seller_id,
   'Customer#' || lpad(cast(user_id as string), 9, '0') as seller_name,
   cast(cast(value as decimal(18,2)) as decimal(18,6)) as amount,
   ts as created_at
 from {events} where event_type = 'purchase'"""
+DOMAIN["recharge_facts"] = """
+select * from {recharge_latest}
+union all
+select recharge_id, version - interval '1' day as version, seller_id, seller_name,
+  cast(amount * 2 as decimal(18,6)) as amount, created_at
+from {recharge_latest} where recharge_id % 4 = 0"""
 
 DOMAIN["overweight"] = """
 select reference as waybill, cast(amount as decimal(18,6)) as amount
-from {wallet_transactions}
+from {wallet_latest}
 where transaction_type = 'Cargo por sobrepeso' and reference <> ''"""
 
 DOMAIN["recharges"] = """
 select seller_id, min(seller_name) as seller_name, cast(sum(amount) as decimal(18,6)) as recharges
-from {recharge_facts} group by seller_id"""
+from {recharge_latest} group by seller_id"""
 
 DOMAIN["surcharges"] = f"""
 select {LINE_CARRIER} as carrier,
@@ -203,10 +226,13 @@ DOMAIN["kilo_margins"] = " union all ".join(
     for low, high, base in (("null", "20", "8"), ("20", "45", "12"), ("15", "25", "20"))
 )
 
-DOMAIN["surcharge_map"] = f"""
-select {CARRIER.format("n_nationkey")} as carrier, n_name as concept,
-  'Column ' || cast(n_regionkey as string) as source_column
-from {{nation}}"""
+# Which raw column of a carrier holds which surcharge; one is shared, one is in no file.
+DOMAIN["surcharge_map"] = """
+select carrier, concept, source_column from (values
+  ('dhl', 'Extended area', 'FF'), ('dhl', 'Oversize', 'OO'), ('dhl', 'Handling', 'OO'),
+  ('dhl', 'Absent', 'ZZ'), ('fedex', 'Fuel', 'Fuel_Surcharge'), ('fedex', 'Extended area', 'ODA'),
+  ('paquete_express', 'Other', 'Otros'), ('paquete_express', 'Extended area', 'RAD'),
+  ('paquete_express_2', 'Extended area', 'RAD')) as t(carrier, concept, source_column)"""
 
 DOMAIN["client_carriers"] = "select distinct seller_id, carrier from {client_lanes}"
 
@@ -424,7 +450,7 @@ class Domain:
 
     def _build(self, name: str) -> DataFrame:
         if name in GIVEN:
-            return spread(self.scan(name)) if name in FACTS else self.scan(name)
+            return self.scan(name)
         sql = DOMAIN[name].replace('"', "`")
         df = self.spark.sql(sql, **{t: self.table(t) for t in references(sql)})
         return conform(df, TYPED[name]) if name in TYPED else df

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 from operator import add
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,12 +104,52 @@ def _trimmed_headers(raw: DataFrame) -> dict[str, T.StructField]:
 
 
 def read_raw(spark: SparkSession, path: str, file_format: str = "csv", **options: str) -> DataFrame:
-    """Raw carrier or client table; CSV cells stay text, so no inference pass is needed."""
+    """Raw carrier or client table; CSV cells stay text, so no inference pass is needed.
+
+    One header holds for the whole load: files that differ in theirs go through ``read_invoices``.
+    """
     if file_format == "csv":
         options = {"header": "true", "inferSchema": "false", **options}
     return with_source_file(spark.read.format(file_format).options(**options).load(path))
 
 
+def file_headers(spark: SparkSession, path: str, encoding: str = "UTF-8") -> dict[str, list[str]]:
+    """Header line -> files that start with it. One row per file comes to the driver.
+
+    Only lines of a file's first block are looked at; the first of them is its header.
+    """
+    lines = spark.read.option("encoding", encoding).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+    )
+    numbered = lines.where("block = 0").withColumn("line", F.monotonically_increasing_id())
+    first = numbered.groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    found: dict[str, list[str]] = {}
+    for row in first.orderBy("file").collect():
+        found.setdefault(row["header"].rstrip("\r").lstrip("\ufeff"), []).append(unquote(row["file"]))
+    return found
+
+
+def read_raw_groups(spark: SparkSession, path: str, **options: str) -> list[DataFrame]:
+    """CSV files of one load, one frame per header, so that every file is bound by its own."""
+    options = {"header": "true", "inferSchema": "false", **options}
+    return [
+        with_source_file(spark.read.options(**options).csv(files))
+        for files in file_headers(spark, path).values()
+    ]
+
+
+def read_invoices(
+    spark: SparkSession, path: str, carrier: str, source_file: str | Column | None = None,
+    **options: str,
+) -> DataFrame:
+    """All carrier files of a path as canonical lines, whatever the order and number of their columns."""
+    groups = read_raw_groups(spark, path, **options)
+    if not groups:
+        raise ValueError(f"no file with a header under {path}")
+    return canonical_union(normalise_invoices(raw, carrier, source_file) for raw in groups)
+
+
 def with_source_file(df: DataFrame) -> DataFrame:
     """Tag every row with the base name of the file it came from."""
     return df.withColumn("source_file", F.col("_metadata.file_name"))
@@ -118,7 +159,7 @@ def drop_blank_rows(raw: DataFrame, key_header: str) -> DataFrame:
     """Drop rows without a key; a wholly empty row has none either."""
     field = _trimmed_headers(raw).get(key_header)
     if field is None:
-        return raw.limit(0)
+        raise ValueError(f"no column {key_header!r} among {raw.columns}")
     return raw.filter(cleaners.has_text(column_of(field.name), field.dataType))
 
 
@@ -202,7 +243,7 @@ def canonical_union(frames: Iterable[DataFrame]) -> DataFrame:
 def normalise_client_invoices(
     raw: DataFrame, source_file: str | Column | None = None
 ) -> DataFrame:
-    """Client invoice table -> waybill, client, total; no rows if key or total is missing."""
+    """Client invoice table -> waybill, client, total; key and total columns must be there."""
     fields = _trimmed_headers(raw)
 
     def first(aliases: tuple[str, ...]) -> T.StructField | None:
@@ -215,19 +256,14 @@ def normalise_client_invoices(
         origin = F.col("source_file") if "source_file" in raw.columns else F.lit(None)
     else:
         origin = source_file if isinstance(source_file, Column) else F.lit(source_file)
-    usable = key is not None and amount is not None
-    if not usable:
-        raw = raw.limit(0)
+    if key is None or amount is None:
+        raise ValueError(f"no key or no total column among {raw.columns}")
     trimmed = lambda f: F.trim(cleaners.as_text(column_of(f.name), f.dataType))
     nothing = F.lit(None).cast("string")
     invoices = raw.select(
-        (trimmed(key) if usable else nothing).alias("waybill"),
+        trimmed(key).alias("waybill"),
         (F.nullif(trimmed(name), F.lit("")) if name is not None else nothing).alias("client"),
-        (
-            cleaners.clean_number(column_of(amount.name), AMOUNT, amount.dataType)
-            if usable
-            else nothing
-        ).alias("total"),
+        cleaners.clean_number(column_of(amount.name), AMOUNT, amount.dataType).alias("total"),
         origin.alias("source_file"),
     )
     return conform(invoices.filter(F.col("waybill").isNotNull()), CLIENT_INVOICES)

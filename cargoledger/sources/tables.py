@@ -10,16 +10,6 @@ from pyspark.sql import functions as F
 from cargoledger.schemas import LOAD_LOG, conform
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores, when the files have fewer parts than the cluster has cores.
-
-    A small file set may be a single part, which would leave one task with all the work. A table
-    with enough parts is returned as it is, so a large one is never shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def append_batch(current: DataFrame, batch: DataFrame) -> DataFrame:
     """The table after an append; columns are matched by name."""
     return current.unionByName(batch)

@@ -112,8 +112,10 @@ def test_days_overdue(spark):
 def test_statement_splits_tax_and_surcharges(spark):
     lines = b.invoices(spark, [b.line("W", 1, kilos=1.2), b.line("E", 1)])
     rows = recon(spark, [
-        {"waybill": "W", "seller_id": 1, "income": 232, "surcharges": 116, "extra": 0},
-        {"waybill": "E", "seller_id": 2, "income": 500, "surcharges": 0, "extra": 11.6},
+        {"waybill": "W", "seller_id": 1, "income": 232, "surcharges": 116, "extra": 0,
+         "carrier": "dhl", "has_cost": True},
+        {"waybill": "E", "seller_id": 2, "income": 500, "surcharges": 0, "extra": 11.6,
+         "carrier": "dhl", "has_cost": True},
     ])
     charge = b.charges(spark, [{"seller_id": 2, "month": MONTH, "concept": "extra"}])
     statement = receivables.client_statement(charge, rows, lines)
@@ -126,10 +128,10 @@ def test_statement_splits_tax_and_surcharges(spark):
         for c, w in (("dhl", "W"), ("dhl", "W"), ("fedex", "W"), ("dhl", "E"))
     ])
     extra = receivables.statement_surcharges(
-        statement, charge, rows, costs, b.config(spark, [{"seller_id": 1, "margin": 0.5}]))
+        charge, rows, costs, b.config(spark, [{"seller_id": 1, "margin": 0.5}]))
     assert [(r["seller_id"], r["carrier"], float(r["total"])) for r in extra.collect()] == [
         (1, "dhl", 174.0)]
-    totals = by_seller(receivables.statement_totals(statement, extra))
+    totals = by_seller(receivables.statement_totals(charge, rows, extra))
     assert (float(totals[1]["total"]), float(totals[2]["total"])) == (290, 11.6)
 
 

@@ -19,60 +19,76 @@ def book(spark, **tables):
     return pricing.price_book(*[tables.get(n) or getattr(b, n)(spark) for n in names])
 
 
+MARKUP, VAT = 1.14, 1.16
+#: name -> (cost, seller, seller name, payment model, sale price, overweight) of a plain shipment
+PLAIN = {
+    "paid in full": (240, 21, "Birch", PREPAID, 300, 0),
+    "paid short": (500, 22, "Cedar", PREPAID, 410, 25),
+    "own account": (75, 23, "se00724", PREPAID, 0, 0),
+    "credit sold": (90, 24, "Dogwood", CREDIT, 95, 0),
+    "no model": (60, 25, "Elm", "", 61, 0),
+}
+
+
 @pytest.fixture(scope="module")
-def rules_case(spark):
-    lines = [
-        b.line("PREP_OK", 100), b.line("PREP_REWEIGHED", 200), b.line("INTERNAL", 100),
-        b.line("CREDIT_AUTO", 100), b.line("CREDIT_FLAT", 100, kilos=2, zone="1"),
-        b.line("CREDIT_NO_RATE", 100, kilos=2, zone="9"), b.line("UNKNOWN", 80),
-        b.line("RETURN", 50, is_return=True, reference="RT1234567890"),
+def billed(spark):
+    lines = [b.line(name, cost) for name, (cost, *_) in PLAIN.items()]
+    lines += [
+        b.line("card price", 70, kilos=12, zone="6"), b.line("card gap", 70, kilos=40, zone="6"),
+        b.line("stranger", 33), b.line("came back", 44, is_return=True, reference="RT7770001234"),
     ]
-    known = [
-        b.shipment("PREP_OK", 1, "A", PREPAID, 115), b.shipment("PREP_REWEIGHED", 2, "B", PREPAID, 60),
-        b.shipment("INTERNAL", 3, "SN00449", CREDIT, None),
-        b.shipment("CREDIT_AUTO", 4, "Auto", CREDIT, 130),
-        b.shipment("CREDIT_FLAT", 5, "Flat", CREDIT, 999),
-        b.shipment("CREDIT_NO_RATE", 5, "Flat", CREDIT, 999),
-        b.shipment("1234567890", 9, "Return client", PREPAID, 200),
-    ]
-    flat = b.flat_rates(spark, [
-        {"seller_id": 5, "carrier": "dhl", "zone": "1", "kilo_min": 1, "kilo_max": 5, "price": 150}
-    ])
+    known = [b.shipment(name, s, who, model, sale) for name, (_, s, who, model, sale, _) in PLAIN.items()]
+    known += [b.shipment(w, 26, "Fir", CREDIT, 1) for w in ("card price", "card gap")]
+    known.append(b.shipment("7770001234", 27, "Gum", PREPAID, 88))
+    card = [{"seller_id": 26, "carrier": "dhl", "zone": "6", "kilo_min": 10, "kilo_max": 20, "price": 305}]
+    heavy = [{"waybill": name, "amount": w} for name, (*_, w) in PLAIN.items() if w]
     result = reconcile.reconcile(
-        b.invoices(spark, lines), b.shipments(spark, known),
-        b.overweight(spark, [{"waybill": "PREP_REWEIGHED", "amount": 30}]), b.surcharges(spark),
-        b.config(spark, [{"seller_id": 5, "client": "Flat", "method": "manual"}]),
-        book(spark, flat_rates=flat),
+        b.invoices(spark, lines), b.shipments(spark, known), b.overweight(spark, heavy),
+        b.surcharges(spark), b.config(spark, [{"seller_id": 26, "client": "Fir", "method": "manual"}]),
+        book(spark, flat_rates=b.flat_rates(spark, card)),
     )
     schemas.check_schema(result, schemas.RECONCILIATION)
     return {r["waybill"]: r for r in result.collect()}
 
 
-@pytest.mark.parametrize(
-    ("waybill", "expected"),
-    [
-        ("PREP_OK", {"status": "billed_ok"}),
-        ("PREP_REWEIGHED", {"status": "extra_due", "income": 228, "extra": 138}),
-        ("INTERNAL", {"status": "internal", "margin": 14}),
-        ("CREDIT_AUTO", {"status": "billed_ok"}),
-        ("CREDIT_FLAT", {"status": "billed_ok", "income": 174}),
-        ("CREDIT_NO_RATE", {"status": "credit_unbilled", "income": None}),
-        ("UNKNOWN", {"status": "not_in_system", "income": None, "client": "rem"}),
-        ("RETURN", {"status": "extra_due", "client": "Return client", "extra": 57}),
-        ("1234567890", {"status": "billed_cost_pending", "has_cost": False, "income": 200}),
-    ],
-)
-def test_billing_rules(rules_case, waybill, expected):
-    row = rules_case[waybill]
-    for column, value in expected.items():
-        found = row[column]
-        if value is not None and column in ("income", "extra", "margin"):
-            found = float(found)
-        assert found == value, column
-
-
-def test_one_row_per_waybill(rules_case):
-    assert len(rules_case) == 9
+@pytest.mark.parametrize("name", ["paid in full", "paid short", "credit sold", "no model"])
+def test_floor_is_cost_and_markup(billed, name):
+    """What was billed stands, unless it stays below cost with the usual markup."""
+    cost, _, _, _, sale, heavy = PLAIN[name]
+    due = max(0, cost * MARKUP - sale - heavy)
+    row = billed[name]
+    assert float(row["extra"]) == pytest.approx(due)
+    assert float(row["income"]) == pytest.approx(sale + heavy + due)
+    assert row["status"] == ("extra_due" if due > 0.5 else "billed_ok")
+
+
+def test_own_accounts_pay_cost_and_agreed_margin(billed):
+    row = billed["own account"]
+    assert row["status"] == "internal"
+    assert float(row["margin"]) == pytest.approx(PLAIN["own account"][0] * (MARKUP - 1))
+
+
+def test_flat_card_prices_inside_its_band_only(billed):
+    assert float(billed["card price"]["income"]) == pytest.approx(305 * VAT)
+    assert billed["card price"]["status"] == "billed_ok"
+    assert billed["card gap"]["income"] is None and billed["card gap"]["status"] == "credit_unbilled"
+
+
+def test_unknown_waybill_keeps_its_sender(billed):
+    row = billed["stranger"]
+    assert (row["status"], row["income"], row["client"]) == ("not_in_system", None, "rem")
+
+
+def test_return_is_charged_to_the_client_of_its_original(billed):
+    back, original = billed["came back"], billed["7770001234"]
+    assert (back["client"], back["status"]) == ("Gum", "extra_due")
+    assert float(back["extra"]) == pytest.approx(44 * MARKUP)
+    assert not original["has_cost"] and original["status"] == "billed_cost_pending"
+    assert float(original["income"]) == 88
+
+
+def test_one_row_per_waybill(billed):
+    assert len(billed) == len(PLAIN) + 5
 
 
 def run(spark, lines, known, config=(), **extra):

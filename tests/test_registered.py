@@ -6,13 +6,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entrypoint
-from cargoledger.plans.catalog import Workspace
+from cargoledger.plans import checks
+from cargoledger.plans.catalog import Workspace, registered
 from cargoledger.plans.domain import GIVEN
 
 FOLDER = entrypoint.SMOKE_FOLDER
 # joins that pair all rows, and Python in a plan
 NEVER = ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas")
-QUERIES, CHECKS = entrypoint.queries(), entrypoint.oracle_sql()
+QUERIES, CHECKS = registered(), dict(checks.CHECKS)
 
 
 @pytest.fixture(scope="module")
@@ -45,6 +46,18 @@ def test_query_matches_check(spark, duck, name):
     assert found == wanted
 
 
+def test_entrypoint_has_every_query():
+    assert set(QUERIES) <= set(entrypoint.queries()) and set(CHECKS) <= set(entrypoint.oracle_sql())
+
+
+def test_statements_read_no_invoices(spark):
+    w = Workspace(spark, FOLDER)
+    for name in ("statement_surcharges", "statement_totals"):
+        plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "row_number" not in plan
+    assert w.recon.count() > 0
+
+
 def test_entry(spark):
     assert entrypoint.entry(spark).limit(1).count() == 1
 

@@ -12,38 +12,74 @@ from cargoledger import schemas
 from cargoledger.functions import cleaners
 from cargoledger.sources import carriers, mirror, surcharges, tables
 
-HEADER = (
-    "`Fecha Factura` timestamp, `No.De Guia` bigint, `No.De Cuenta` string, Referencia string, "
-    "Producto string, Org string, Des string, Pza int, Kilos double, `Fecha Envio` timestamp, "
-    "`No. Factura` string, Flete double, Seguro double, Descuento double, `Imp.I.V.A.` double, "
-    "`Importe Neto` double, `% IVA` double, Moneda string, Remitente string, Destinatario string, "
-    "FF double, OO double"
-)
+SENT, BILLED = dt.datetime(2025, 3, 9, 7, 30), dt.datetime(2025, 4, 1)
+
+
+def _typed_lines(spark):
+    """A typed table as a spreadsheet reader yields it: numbers, times, and an empty last row."""
+    cells = {
+        "Zona": ["4", None, None], "Remitente": ["Tea House", "Lamp Works", None],
+        "No.De Guia": [5550001112, 5550003334, None], "Importe Neto": [47.25, 310.0, None],
+        "OO": [0.75, 12.5, None], "FF": [0.0, 4.25, None], "Producto": [" G", "N  ", None],
+        "Referencia": ["rt5550001112", "order 81", None], "Pza": [3, 12, None],
+        "Fecha Envio": [SENT, None, None], "Fecha Factura": [None, BILLED, None],
+    }
+    kinds = {
+        "No.De Guia": "bigint", "Importe Neto": "double", "OO": "double", "FF": "double", "Pza": "int",
+        "Fecha Envio": "timestamp", "Fecha Factura": "timestamp",
+    }
+    schema = ", ".join(f"`{name}` {kinds.get(name, 'string')}" for name in cells)
+    return spark.createDataFrame(list(zip(*cells.values(), strict=True)), schema)
+
+
+def test_typed_table(spark):
+    lines = carriers.normalise_invoices(_typed_lines(spark), "dhl", "march")
+    schemas.check_schema(lines, schemas.CARRIER_INVOICES)
+    rows = {r["waybill"]: r for r in lines.collect()}
+    assert set(rows) == {"5550001112", "5550003334"}
+    back, sale = rows["5550001112"], rows["5550003334"]
+    assert back["is_return"] and not sale["is_return"]
+    assert (back["service"], sale["service"], back["zone"], sale["zone"]) == ("G", "N", "4", None)
+    assert (float(back["surcharges"]), float(sale["surcharges"])) == (0.75, 12.5 + 4.25)
+    assert (back["ship_date"], back["invoice_date"]) == (SENT.date(), None)
+    assert (sale["ship_date"], sale["invoice_date"]) == (None, BILLED.date())
+    assert back["sender"] == "Tea House" and sale["pieces"] == 12 and sale["source_file"] == "march"
+
+
+def test_every_file_is_bound_by_its_own_header(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("No.De Guia,Importe Neto,Zona,Pza\nW1,100,3,1\n")
+    (tmp_path / "two.csv").write_text("Zona,Extra,No.De Guia,Importe Neto\n5,x,W2,200\n")
+    (tmp_path / "three of them.csv").write_text("Importe Neto,No.De Guia\n300,W3\n400,W4\n")
+    (tmp_path / "four.csv").write_text("Zona,Extra,No.De Guia,Importe Neto\n6,y,W5,500\n")
+    rows = carriers.read_invoices(spark, f"{tmp_path}/*.csv", "dhl").collect()
+    found = {r["waybill"]: (float(r["net_amount"]), r["zone"], r["pieces"]) for r in rows}
+    assert found == {
+        "W1": (100, "3", 1), "W2": (200, "5", None), "W3": (300, None, None), "W4": (400, None, None),
+        "W5": (500, "6", None),
+    }
+    assert {r["source_file"].replace("%20", " ") for r in rows if r["waybill"] == "W3"} == {"three of them.csv"}
+    (tmp_path / "five.csv").write_text("Guide,Importe Neto\nW9,1\n")
+    with pytest.raises(ValueError, match="No.De Guia"):
+        carriers.read_invoices(spark, f"{tmp_path}/*.csv", "dhl")
 
 
-def _sheet(spark):
-    when, sent = dt.datetime(2026, 5, 28), dt.datetime(2026, 5, 5)
-    return spark.createDataFrame(
-        [
-            (when, 1234567890, "980", ".", "N ", "MEX", "GDL", 1, 2.0, sent, "MEXR001", 100.0, 0.0,
-             0.0, 16.0, 118.0, 16.0, "MXN", "ACME", "Juan", 2.0, 0.0),
-            (when, 9999999999, "980", "RT1234567890", "N ", "GDL", "MEX", 1, 1.0, sent, "MEXR001",
-             80.0, 0.0, 0.0, 12.8, 92.8, 16.0, "MXN", "SENDER.COM", "Vendedor", 1.5, 0.0),
-            (None,) * 22,
-        ],
-        HEADER,
-    )
+@pytest.mark.parametrize(
+    ("text", "day"),
+    [("2024-01-02T03:04:05.000Z", dt.date(2024, 1, 2)), ("2024-01-02T03:04:05+01:00", dt.date(2024, 1, 2)),
+     ("2024-01-02 03:04:05.123456", dt.date(2024, 1, 2)), ("2024-1-2", dt.date(2024, 1, 2)),
+     ("2024-01-02T03:04", dt.date(2024, 1, 2)), ("2024-13-02", None), ("Tuesday", None)],
+)
+def test_iso_dates(spark, text, day):
+    df = spark.createDataFrame([(text,)], "c string")
+    found = cleaners.clean_date(F.col("c"), formats=cleaners.ISO_FORMATS)
+    assert df.select(found).first()[0] == day
 
 
-def test_typed_sheet(spark):
-    lines = carriers.normalise_invoices(_sheet(spark), "dhl", "dhl.xlsx")
-    schemas.check_schema(lines, schemas.CARRIER_INVOICES)
-    sale, back = lines.orderBy("waybill").collect()
-    assert sale["waybill"] == "1234567890" and sale["service"] == "N"
-    assert float(sale["net_amount"]) == 118 and float(sale["surcharges"]) == 2.0
-    assert sale["ship_date"] == dt.date(2026, 5, 5) and sale["invoice_date"] == dt.date(2026, 5, 28)
-    assert sale["is_return"] is False and sale["zone"] is None and sale["source_file"] == "dhl.xlsx"
-    assert back["is_return"] is True and back["sender"] == "SENDER.COM"
+def test_amounts_beyond_the_type_are_refused(spark):
+    df = spark.createDataFrame([("999999999999.5", "1234567890123.5")], "a string, b string")
+    assert float(df.select(cleaners.clean_number(F.col("a"), "decimal(18,6)")).first()[0]) == 999999999999.5
+    with pytest.raises(Exception, match="amount too large"):
+        df.select(cleaners.clean_number(F.col("b"), "decimal(18,6)")).collect()
 
 
 def test_csv_file_keeps_text_and_file_name(spark, tmp_path):
@@ -123,9 +159,26 @@ def test_surcharges_share_headers_and_skip_zero(spark):
     ]
 
 
-def test_client_invoices_without_total_are_skipped(spark):
+def test_client_invoices_without_total_are_refused(spark):
     raw = spark.createDataFrame([("1", "x")], "guia string, Cliente string")
-    assert carriers.normalise_client_invoices(raw, "f").count() == 0
+    with pytest.raises(ValueError):
+        carriers.normalise_client_invoices(raw, "f")
+
+
+def test_only_the_latest_version_of_a_fact_counts(spark):
+    facts = "transaction_id long, version int, transaction_type string, reference string, amount double"
+    wallet = spark.createDataFrame(
+        [(1, 10, "Cargo por sobrepeso", "W", 10.0), (1, 12, "Cargo por sobrepeso", "W", 12.0),
+         (2, 1, "Cargo por sobrepeso", "W", 1.0), (3, 1, "Cargo por sobrepeso", "V", 5.0), (3, 2, "other", "V", 5.0)],
+        facts,
+    )
+    rows = {r["waybill"]: float(r["amount"]) for r in mirror.overweight_rollup(wallet).collect()}
+    assert rows == {"W": 13.0}
+    recharges = spark.createDataFrame(
+        [(1, 1, 7, "N", 50.0, dt.datetime(2025, 1, 1)), (1, 2, 7, "N", 20.0, dt.datetime(2025, 1, 1))],
+        "recharge_id long, version int, seller_id long, seller_name string, amount double, created_at timestamp_ntz",
+    )
+    assert float(mirror.recharge_rollup(recharges).first()["recharges"]) == 20
 
 
 def test_union_rejects_another_schema(spark):
@@ -137,11 +190,12 @@ def test_union_rejects_another_schema(spark):
 
 def test_latest_shipment_skips_nulls_per_column(spark):
     facts = spark.createDataFrame(
-        [("W", 1, "Old", "p", 5, dt.datetime(2026, 1, 1), "DHL"),
-         ("W", None, None, "q", 9, dt.datetime(2026, 2, 1), "DHL"),
-         ("W", 3, "Other", "q", 9, dt.datetime(2026, 3, 1), "ELSE")],
+        [("W", 1, "Old", "p", 5, dt.datetime(2026, 1, 1), "DHL", 1, 1),
+         ("W", None, None, "q", 9, dt.datetime(2026, 2, 1), "DHL", 2, 1),
+         ("W", 3, "Other", "q", 9, dt.datetime(2026, 3, 1), "ELSE", 3, 2),
+         ("W", 3, "Moved", "q", 9, dt.datetime(2026, 4, 1), "DHL", 3, 1)],
         "waybill string, seller_id long, seller_name string, payment_model string, sale_price int, "
-        "created_at timestamp_ntz, carrier_name string",
+        "created_at timestamp_ntz, carrier_name string, shipment_id long, version int",
     )
     row = mirror.latest_shipment(facts, ["DHL"]).first()
     assert (row["seller_id"], row["seller_name"], row["payment_model"]) == (1, "Old", "q")
