@@ -574,6 +574,16 @@ def summary_by_status(w: Workspace) -> DataFrame:
     return reports.summary_by_status(w.recon)
 
 
+@query
+def pipeline_summary(w: Workspace) -> DataFrame:
+    """The chain in one: raw files, surcharges and mirror, reconciled, by status."""
+    result = reconcile.reconcile(
+        canonical_union(w), mirror.latest_shipment(w.shipment_facts), overweight_rollup(w),
+        ingest_surcharges(w), w.credit_config, w.book,
+    )
+    return reports.summary_by_status(result)
+
+
 @query
 def kpis(w: Workspace) -> DataFrame:
     return reports.kpis(w.recon)

@@ -312,16 +312,14 @@ check("ingest_dhl", CANONICAL, _DHL_LINES)
 check("ingest_fedex", CANONICAL, _FEDEX_LINES)
 check("ingest_paquete_express", CANONICAL, _PX_ONE)
 check("ingest_second_account", CANONICAL, _PX_TWO)
-check(
-    "canonical_union", CANONICAL,
-    " union all ".join(
-        "select " + ", ".join(
-            f"cast({c.split(':')[0]} as decimal(18,6)) as {c.split(':')[0]}" if c.endswith(":n")
-            else c.split(":")[0] for c in CANONICAL.split()
-        ) + f" from ({part})"
-        for part in (_DHL_LINES, _FEDEX_LINES, _PX_ONE, _PX_TWO)
-    ),
+_ALL_LINES = " union all ".join(
+    "select " + ", ".join(
+        f"cast({c.split(':')[0]} as decimal(18,6)) as {c.split(':')[0]}" if c.endswith(":n")
+        else c.split(":")[0] for c in CANONICAL.split()
+    ) + f" from ({part})"
+    for part in (_DHL_LINES, _FEDEX_LINES, _PX_ONE, _PX_TWO)
 )
+check("canonical_union", CANONICAL, _ALL_LINES)
 check(
     "ingest_client_invoices", "waybill client total:n source_file",
     f"""select trim("guia") as waybill, nullif(trim("Cliente"), '') as client,
@@ -334,16 +332,14 @@ _SURCHARGE_CELLS = {
     ("paquete_express", "raw_paquete_express", "Rastreo"): (("Other", "Otros"), ("Extended area", "RAD")),
     ("paquete_express_2", "raw_paquete_express", "Rastreo"): (("Extended area", "RAD"),),
 }
-check(
-    "ingest_surcharges", "carrier waybill concept amount:n",
-    " union all ".join(
-        f"""select '{carrier}' as carrier, trim("{key}") as waybill, '{concept}' as concept,
-          {_number(f'"{column}"')} as amount
-        from {{{table}}} where trim("{key}") <> '' and {_number(f'"{column}"')} <> 0"""
-        for (carrier, table, key), cells in _SURCHARGE_CELLS.items()
-        for concept, column in cells
-    ),
+_ALL_SURCHARGES = " union all ".join(
+    f"""select '{carrier}' as carrier, trim("{key}") as waybill, '{concept}' as concept,
+      {_number(f'"{column}"')} as amount
+    from {{{table}}} where trim("{key}") <> '' and {_number(f'"{column}"')} <> 0"""
+    for (carrier, table, key), cells in _SURCHARGE_CELLS.items()
+    for concept, column in cells
 )
+check("ingest_surcharges", "carrier waybill concept amount:n", _ALL_SURCHARGES)
 check(
     "ingest_header_variants", CANONICAL,
     f"""select * replace (
@@ -435,12 +431,10 @@ check(
       order by version desc, sale_price desc nulls last, carrier_name desc,
         seller_id desc nulls last, seller_name desc nulls last, payment_model desc) = 1""",
 )
-check(
-    "overweight_rollup", "waybill amount:n",
-    """select reference as waybill, round(sum(amount), 2) as amount from {wallet_now}
+_OVERWEIGHT = """select reference as waybill, round(sum(amount), 2) as amount from {wallet_now}
     where transaction_type = 'Cargo por sobrepeso' and reference is not null and reference <> ''
-    group by reference""",
-)
+    group by reference"""
+check("overweight_rollup", "waybill amount:n", _OVERWEIGHT)
 check(
     "recharge_rollup", "seller_id seller_name recharges:n",
     """select seller_id, any_value(seller_name) as seller_name, round(sum(amount), 2) as recharges
@@ -475,6 +469,36 @@ RECON = (
     "sale_price:n overweight_billed:n tariff_price:n extra:n surcharges:n income:n margin:n status "
     "ship_month invoice_month"
 )
+
+
+def _chained(prefix: str, target: str, sources: dict[str, str]) -> None:
+    """The steps that lead to a target once more, under a prefix, on other source tables."""
+    needed: dict[str, None] = {}
+
+    def visit(name: str) -> None:
+        for part in references(STEPS[name]):
+            if part in STEPS and part not in needed:
+                visit(part)
+        needed[name] = None
+
+    visit(target)
+    renamed = {name: prefix + name for name in (*needed, *sources)}
+    for name, sql in sources.items():
+        STEPS[prefix + name] = sql
+    for name in needed:
+        sql = STEPS[name]
+        for old, new in renamed.items():
+            sql = sql.replace("{" + old + "}", "{" + new + "}")
+        STEPS[prefix + name] = sql
+
+
+_chained(
+    "raw_", "recon",
+    {
+        "carrier_invoices": _ALL_LINES, "surcharges": _ALL_SURCHARGES, "overweight": _OVERWEIGHT,
+        "shipments": _latest_shipments("true"),
+    },
+)
 check("write_reconciliation", RECON, "select * from {recon}")
 
 # --- reconciliation -------------------------------------------------------------------------
@@ -702,6 +726,10 @@ check(
     "summary_by_status", f"status {TOTALS}",
     f"select status, {_TOTALS} from {{recon}} group by status",
 )
+check(
+    "pipeline_summary", f"status {TOTALS}",
+    f"select status, {_TOTALS} from {{raw_recon}} group by status",
+)
 check(
     "kpis", "waybills cost:n income:n margin:n receivable:n to_accrue:n",
     f"""select t.*, income, profit as margin, receivable, to_accrue
