@@ -57,32 +57,37 @@ OWN_RULES = (
 RULES = BASE_RULES + OWN_RULES
 
 
-def split_text(docs: DataFrame, text: str) -> DataFrame:
-    """Adds `_text` (never null) and its `_words`."""
-    blanks = F.lit(" \t\n\x0b\f\r")
-    docs = docs.withColumn("_text", F.coalesce(text, F.lit("")))
-    docs = docs.withColumn("_trimmed", F.btrim("_text", blanks))
-    words = F.when(F.col("_trimmed") == "", F.array().cast("array<string>")).otherwise(
-        F.split("_trimmed", BLANKS)
-    )
-    return docs.withColumn("_words", words)
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that it names several times, computed once per row.
+
+    A column of an earlier projection would not do: where the optimizer moves a filter below the
+    projection, it writes the column's expression out at every place it is used.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def text_of(column: str | Column) -> Column:
+    return F.coalesce(column, F.lit(""))
+
+
+def words_of(text: Column) -> Column:
+    trimmed = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    nothing = F.array().cast("array<string>")
+    return F.when(F.length(trimmed) == 0, nothing).otherwise(F.split(trimmed, BLANKS))
 
 
 def repeated_words(words: Column) -> Column:
     """How many words lie in windows of five words that occur twice or more in the list."""
     n = F.size(words)
-    hashes = F.when(
-        n >= REPEAT,
-        F.transform(
-            F.sequence(F.lit(0), n - REPEAT),
-            lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(REPEAT))),
-        ),
+    hashes = F.transform(
+        F.sequence(F.lit(0), n - REPEAT),
+        lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(REPEAT))),
     )
-    return F.when(n < REPEAT, F.lit(0)).otherwise(_covered(hashes))
+    return F.when(n < REPEAT, F.lit(0)).otherwise(bound(hashes, _covered))
 
 
 def _covered(hashes: Column) -> Column:
-    """Words covered by the windows of equal hash, by a running sum over their sorted places."""
+    """Words covered by the windows of equal hash, by steps between their sorted places."""
     pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
     def places(s: Column) -> Column:
@@ -99,22 +104,19 @@ def _covered(hashes: Column) -> Column:
         )
         return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
-    # one-element arrays bind a value that is used several times, so that it is computed once
-    found = F.get(F.transform(F.transform(F.array(pairs), places), total), F.lit(0))
     distinct = F.size(F.array_distinct(hashes)) == F.size(hashes)
-    return F.when(distinct, F.lit(0)).otherwise(found)
+    return F.when(distinct, F.lit(0)).otherwise(bound(bound(pairs, places), total))
 
 
-def measures() -> dict[str, Column]:
-    """Every measure as an expression of `_text` and `_words`."""
-    text, words = F.col("_text"), F.col("_words")
+def measures(text: Column, words: Column) -> dict[str, Column]:
+    """Every measure as an expression of a text (not null) and its words."""
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return {
         "n_words": F.size(words).cast("long"),
         "word_chars": F.length(F.array_join(words, "")).cast("long"),
         "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
         "n_lines": F.size(lines).cast("long"),
-        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "n_dup_lines": bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": repeated_words(words).cast("long"),
         "n_capitals": F.regexp_count(text, F.lit("[A-Z]")).cast("long"),
         "n_digits": F.regexp_count(text, F.lit("[0-9]")).cast("long"),
@@ -136,18 +138,22 @@ def take_sample(docs: DataFrame, text: str, rows: int) -> DataFrame:
 
 def estimate(sample: DataFrame, text: str, rules: tuple[Rule, ...]) -> list[tuple[Rule, float, float]]:
     """Share rejected and seconds of each rule on the sample."""
-    split, found = split_text(sample, text), measures()
 
-    def run(rejects: Column) -> tuple[float, float]:
+    def run(rule: Rule | None) -> tuple[float, float]:
+        whole = text_of(F.col(text))
+        rejects = bound(
+            words_of(whole),
+            lambda w: condition(rule, measures(whole, w)) if rule else F.size(w) < 0,
+        )
         start = time.perf_counter()
-        row = split.agg(F.avg(rejects.cast("int")), F.sum(F.size("_words"))).first()
+        row = sample.agg(F.avg(rejects.cast("int"))).first()
         return row[0] or 0.0, time.perf_counter() - start
 
-    run(F.lit(False))
-    _, idle = run(F.lit(False))
+    run(None)
+    _, idle = run(None)
     out = []
     for rule in rules:
-        share, seconds = run(condition(rule, found))
+        share, seconds = run(rule)
         out.append((rule, share, max(seconds - idle, 1e-3)))
     return out
 
@@ -174,9 +180,9 @@ def filter_documents(
 ) -> DataFrame:
     """The rows that no rule rejects, with all their columns; measures are computed on demand."""
     order = cascade_order(docs, rules, text, rows)
-    whole = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_in"))
-    judged = split_text(whole, "_in").where(first_failed(order, measures()).isNull())
-    return judged.select("_row.*")
+    whole = text_of(docs[text])
+    failed = bound(words_of(whole), lambda w: first_failed(order, measures(whole, w)))
+    return docs.where(failed.isNull())
 
 
 def judge(
@@ -189,9 +195,11 @@ def judge(
     """doc_id, all measures, base_failed, kept and failed_rule (the cascade's first) per row."""
     texts = common.id_and_text(docs, id_column, text_column)
     order = cascade_order(texts, rules, "text", rows)
-    names = list(measures())
-    split = split_text(texts, "text")
-    measured = split.select("doc_id", *(c.alias(n) for n, c in measures().items()))
+    split = texts.select("doc_id", text_of("text").alias("text"))
+    split = split.withColumn("words", words_of(F.col("text")))
+    found = measures(F.col("text"), F.col("words"))
+    names = list(found)
+    measured = split.select("doc_id", *(c.alias(n) for n, c in found.items()))
     columns = {n: F.col(n) for n in names}
     base = condition(BASE_RULES[0], columns) | condition(BASE_RULES[1], columns)
     judged = measured.select(
