@@ -317,19 +317,22 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     rows = records.where("kind = 'record'").select(
         "page_id", "url", "record_type", "digest", "bytes", "refers_to"
     )
-    heads = (
+    rows = common.stored(rows, "records")
+    heads = common.stored(
         rows.where("record_type = 'response' and page_id is not null")
         .select(
             F.col("page_id").alias("head"), F.col("digest").alias("head_digest"), F.col("bytes").alias("head_bytes")
         )
-        .dropDuplicates(["head"])
+        .dropDuplicates(["head"]),
+        "heads",
     )
-    own = F.col("record_type") == "response"
-    return rows.join(heads, rows["refers_to"] == heads["head"], "left").select(
-        "page_id",
-        "url",
-        F.when(own, F.col("bytes")).otherwise(F.col("head_bytes")).alias("payload_bytes"),
-        F.when(own, F.col("digest")).otherwise(F.col("head_digest")).alias("payload_digest"),
-        "record_type",
-        "refers_to",
+    names = ("payload_bytes", "payload_digest", "record_type", "refers_to")
+    own = rows.where("record_type <> 'revisit'").select(
+        "page_id", "url", F.col("bytes").alias(names[0]), F.col("digest").alias(names[1]), *names[2:]
+    )
+    # only revisits are joined: the others refer to nothing, and would meet in one task
+    others = rows.where("record_type = 'revisit'")
+    joined = others.join(heads, others["refers_to"] == heads["head"], "left").select(
+        "page_id", "url", F.col("head_bytes").alias(names[0]), F.col("head_digest").alias(names[1]), *names[2:]
     )
+    return own.union(joined)
