@@ -295,7 +295,11 @@ def keep_one(
 ) -> DataFrame:
     """One row of each component, with all its columns: that of the least id (rows without an id
     only where the component has no other), and of the least text hash among rows that share it."""
-    found = near_duplicates(docs, size, bits, id_column, text_column)
+    return least_rows(docs, near_duplicates(docs, size, bits, id_column, text_column), id_column, text_column)
+
+
+def least_rows(docs: DataFrame, found: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """The rows of docs that `keep_one` keeps, given doc_id, text_hash and component of all rows."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     best = found.groupBy("component").agg(F.min(order).alias("best"))
     winners = common.stored(
