@@ -60,8 +60,18 @@ BASE_RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]{12}", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", 1, r"[0-9a-f]{32}", r"[0-9a-f]{32,}", 0, 32),
 )
+HEADER, FOOTER = (rf"-----{word} [A-Z\x20]{{0,40}}PRIVATE KEY-----" for word in ("BEGIN", "END"))
+#: A line break, as such or escaped as in JSON.
+BREAK = r"(?:[\r\n]|\\[rn])"
+#: The key body with its footer, or, where that is missing, all body characters and line breaks; before
+#: it perhaps the fields of an encrypted key. Nothing is tried twice, so time is linear.
+BODY = (
+    rf"(?:(?:\s|{BREAK})*+(?:Proc-Type|DEK-Info):(?:(?!{BREAK}).)*+)*+"
+    rf"(?:(?:[A-Za-z0-9+/=\s]|{BREAK})*+{FOOTER}"
+    rf"|(?:[\x20\t]*+{BREAK}[\x20\t]*+)*[A-Za-z0-9+/=]++(?:(?:[\x20\t]*+{BREAK}[\x20\t]*+)++[A-Za-z0-9+/=]++)*+)?"
+)
 OWN_RULES = (
-    Rule("pem", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", 2, HEADER, HEADER + BODY),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8}", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
     Rule("forge", 1, r"gh[pousr]_[A-Za-z0-9]{36}", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", 1, r"xox[abprs]-[A-Za-z0-9-]{10}", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
