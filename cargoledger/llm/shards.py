@@ -5,12 +5,13 @@ pairs. The law is `rows`: shard sizes in rows differ by at most one.
 
 Method. Every document starts in the shard its id hashes to. In each round the groups are joined
 with the shards of their members; a member of a group wants the shard that holds most of the group
-(the lower one on a tie). A shard takes in at most what its quota leaves (the mean size plus
+(on a tie one drawn by the hash of the group). A shard takes in at most what its quota leaves (the mean size plus
 `SLACK`), so of the documents that want it a share is moved, chosen by the hash of the group, or of
 the document where the group alone is larger than the room left. Rounds go on while the number of
-members outside their group's main shard (the cut) falls. Last, the quota is made exact: documents
-are numbered by shard, group and id, and the numbering is cut into equal parts. Groups stand
-together in the numbering, so each of the cuts splits at most one group.
+members outside their group's main shard (the cut) falls. Then all members of a group that is still
+cut join its main shard. Last, the quota is made exact: documents are numbered by shard, group and
+id, and the numbering is cut into equal parts. Groups stand together in the numbering, so each of
+the cuts splits at most one group.
 
 * The texts are read once; all rounds work on a stored table of ids, hashes and shards.
 * Votes are counts that combine before the shuffle, and are stored, so that the joins back can be
@@ -55,11 +56,9 @@ def memberships(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 def _votes(labels: DataFrame) -> DataFrame:
     """Of every group of two or more: its rows, and the shard that holds most of them."""
     counts = labels.groupBy("g1", "g2", "shard").agg(F.count("*").alias("n"))
-    best = F.max(F.struct("n", (-F.col("shard")).alias("minus"))).alias("best")
+    best = F.max(F.struct("n", F.xxhash64("g1", "g2", "shard").alias("drawn"), "shard")).alias("best")
     groups = counts.groupBy("g1", "g2").agg(F.sum("n").alias("rows"), best)
-    return groups.where("rows > 1").select(
-        "g1", "g2", "rows", (-F.col("best.minus")).cast("int").alias("main")
-    )
+    return groups.where("rows > 1").select("g1", "g2", "rows", F.col("best.shard").alias("main"))
 
 
 def _share(*columns: str) -> Column:
@@ -113,6 +112,14 @@ def propagate(members: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFram
     return labels
 
 
+def rejoined(labels: DataFrame) -> DataFrame:
+    """Every group in its main shard, whatever room that has: the numbering makes the quota exact."""
+    votes = common.stored(_votes(labels), "votes")
+    shard = F.coalesce("main", "shard").alias("shard")
+    joined = labels.join(votes, ["g1", "g2"], "left")
+    return common.stored(joined.select(*(c for c in labels.columns if c != "shard"), shard), "rejoined")
+
+
 def numbered(rows: DataFrame, order: list[str], within: list[str]) -> DataFrame:
     """Adds `number`, gapless from 0, by the bucket columns `order`, then by `within`.
 
@@ -135,7 +142,7 @@ def assign(
 ) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard per row."""
     members = common.stored(memberships(docs, id_column, text_column), "members")
-    labels = propagate(members, shards, rounds)
+    labels = rejoined(propagate(members, shards, rounds))
     total = labels.count()
     # a group that alone fills many buckets is spread over `SPLITS` of them by document
     large = common.stored(

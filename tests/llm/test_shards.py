@@ -41,6 +41,22 @@ def test_hot_group_nulls_and_repeats(spark, n):
     check_law(run(spark, rows, n), rows, n)
 
 
+@pytest.mark.parametrize("hot", [0, 3000])
+def test_each_cut_splits_one_group(spark, hot):
+    n = 16
+    rows = [(i, "hot") for i in range(hot)]
+    rows += [(10000 + i, f"pair {i // 2}") for i in range(3600)] + [(20000 + i, f"five {i // 5}") for i in range(1200)]
+    rows += [(30000 + i, f"own {i}") for i in range(1200)]
+    out = run(spark, rows, n)
+    check_law(out, rows, n)
+    text = dict(rows)
+    where = defaultdict(set)
+    for r in out:
+        where[text[r["doc_id"]]].add(r["shard"])
+    assert sum(len(s) > 1 for t, s in where.items() if t != "hot") <= n - 1
+    assert not hot or len(where["hot"]) <= hot * n // len(rows) + 2
+
+
 def test_empty_and_tiny_tables(spark):
     assert run(spark, []) == []
     check_law(run(spark, [(1, "a"), (2, "a"), (3, None)], 16), [(1, "a"), (2, "a"), (3, None)], 16)
