@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from cargoledger.llm import (
     chat,
     common,
+    filteraudit,
     latent,
     licenses,
+    negatives,
     packing,
     quality,
     secrets,
     shards,
     simhash,
     substrings,
+    tokencounts,
     warc,
 )
 
@@ -120,6 +123,24 @@ def op10_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.hard_negatives(negatives.relabelled(table(spark, folder, "embeddings")))
+
+
+def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Two versions of the table: rows up to the middle id, then all, which finds the counts of the first."""
+    docs, cache = table(spark, folder, "documents"), common.scratch_path(spark, "token-counts")
+    path = tokenizer("piece_bpe_32k.model")
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if low is not None:
+        tokencounts.update_cache(docs.where(F.col("doc_id") <= (low + high) // 2), cache, path)
+    return tokencounts.count_tokens(docs, cache, path).drop("digest")
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filteraudit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc_salvage": op1_warc_salvage,
     "op2_secret_ledger": op2_secret_ledger,
@@ -131,6 +152,9 @@ QUERIES: dict[str, Query] = {
     "op8_balanced_shards": op8_balanced_shards,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_token_counts": op12_token_counts,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -221,4 +245,80 @@ ORACLE: dict[str, str] = {
                sum(n)::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id
     """,
+    "op11_hard_negatives": """
+        WITH e AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        s AS (
+            SELECT a.vec_id AS anchor_id, e.vec_id AS other_id, a.label = e.label AS same,
+                   list_inner_product(a.v, e.v)::BIGINT AS score
+            FROM e JOIN e a ON a.vec_id % 100 = 0 AND a.vec_id <> e.vec_id
+        ),
+        p AS (
+            SELECT * FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+        ),
+        n AS (
+            SELECT anchor_id, p.other_id AS positive_id, s.other_id AS negative_id,
+                   p.score AS positive_score, s.score AS negative_score,
+                   row_number() OVER (PARTITION BY anchor_id, p.other_id ORDER BY s.score DESC, s.other_id) AS r
+            FROM p JOIN s USING (anchor_id)
+            WHERE NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+        )
+        SELECT anchor_id, positive_id, r::INTEGER AS rank, negative_id, positive_score, negative_score
+        FROM n WHERE r <= 5
+    """,
+    "op13_filter_audit": f"""
+        WITH d AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS} AS w FROM documents
+        ),
+        f AS (
+            SELECT doc_id, part, concat(
+                CASE WHEN len(w) < 50 THEN 'A' END,
+                CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' END,
+                CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) THEN 'C' END,
+                CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+                CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' END) AS mask
+            FROM d
+        ),
+        l AS (
+            SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic
+            FROM labels GROUP BY doc_id
+        ),
+        m AS (
+            SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic
+            FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask
+        ),
+        x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        o AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+            FROM x a, x b, x c, x d, x e
+            WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+        ),
+        s AS (
+            SELECT filter_order, k::INTEGER AS step, filter_order[k] AS own, substr(filter_order, 1, k - 1) AS earlier
+            FROM o, range(1, 6) r(k)
+        ),
+        c AS (
+            SELECT *, contains(mask, own) AS fails, length(translate(mask, earlier, '')) < length(mask) AS gone
+            FROM m, s
+        ),
+        g AS (
+            SELECT part, filter_order, step, own,
+                   coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept,
+                   coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed,
+                   coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant,
+                   coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+                   coalesce(sum(n_good) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost,
+                   coalesce(sum(n_toxic) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost
+            FROM c GROUP BY part, filter_order, step, own
+        )
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+        FROM g
+    """,
 }

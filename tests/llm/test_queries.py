@@ -9,7 +9,7 @@ import __spark_entry__ as entrypoint
 from cargoledger.llm import queries
 
 FOLDER = entrypoint.SMOKE_FOLDER
-TABLES = ("documents", "pages", "benchmark", "conversations")
+TABLES = ("documents", "pages", "benchmark", "conversations", "embeddings", "labels")
 #: Rows per row of the table a query is about; None where the number is the query's own matter.
 ABOUT = {
     "op1_warc_salvage": "pages",
@@ -19,6 +19,7 @@ ABOUT = {
     "op7_quality_rules": "documents",
     "op8_balanced_shards": "documents",
     "op10_simhash_dedup": "documents",
+    "op12_token_counts": "documents",
 }
 
 
@@ -38,7 +39,7 @@ def shown(rows, columns):
 def test_all_are_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(entrypoint.queries())
     assert set(queries.ORACLE) <= set(queries.QUERIES)
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
