@@ -174,7 +174,8 @@ def count_tokens(
 ) -> DataFrame:
     """doc_id, digest, n_bytes, n_tokens, over_limit for every row; the cache in `folder` is brought up to date."""
     rows, _ = update_cache(docs, folder, path, id_column, text_column)
-    counts = read_cache(docs, folder, tokenizer_version(path))
+    # as a stored table, so that adaptive execution can split the rows of a hot text in the join
+    counts = common.stored(read_cache(docs, folder, tokenizer_version(path)), "counts")
     return rows.join(counts, "digest").select(
         "doc_id", "digest", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
