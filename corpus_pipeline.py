@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargoledger.llm import common, jaccard, latent, packing, quality, secrets
+from cargoledger.llm import common, latent, packing, quality, secrets, simhash
 from cargoledger.llm.queries import tokenizer
 
 
@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts alike (five-word Jaccard 0.8 or more) the document with the least id."""
-    return jaccard.keep_one(docs)
+    """Of each component of fingerprints (three-word shingles, three bits or less apart) the document with the least id."""
+    return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
