@@ -15,7 +15,7 @@ survives.
   about one position in fourteen is shuffled instead of all.
 * A document whose whole text also stands under a smaller id goes as a whole (if it has a window);
   its windows add nothing for others and are not compared. Whole texts are equal if 128 hash bits are.
-* Windows are compared by 96 bits of two independent hashes of their words, and only (hash, id)
+* Windows are compared by 96 bits of two hashes of their words, and only (hash, id)
   pairs are shuffled, one per window and document; places are found again from the text.
 * The least id per window is an aggregate that combines before the shuffle, and is stored, so the
   join back is one whose hot keys adaptive execution splits.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cargoledger.llm import common
-from cargoledger.llm.words import BASES, Block, blocks, mix, prefix_hash, rolling_hash
+from cargoledger.llm.words import Block, blocks, run_hashes
 
 WINDOW = 50
 
@@ -79,9 +79,7 @@ def valid_starts(block: Block, length: int) -> np.ndarray:
 
 def window_hashes(block: Block, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes, 64 and 32 bits, of every window of `length` words in a block."""
-    words = block.word_hashes()
-    one = rolling_hash(prefix_hash(words, BASES[1]), BASES[1], length)
-    two = rolling_hash(prefix_hash(mix(words + np.uint64(7)), BASES[2]), BASES[2], length)
+    one, two = run_hashes(block.word_hashes(), length)
     return one.view(np.int64), two.astype(np.uint32).view(np.int32)
 
 

@@ -4,8 +4,8 @@
 wherever an ASCII letter or digit meets an ASCII mark (apostrophes aside). So the ids of a text are
 those of its chunks between such borders, one after the other. A task finds the chunks of a block
 of texts with array operations, encodes every different one once and keeps up to `KEPT`; then it starts over.
-Results do not depend on what is kept. Chunks are told apart by a 64-bit hash, those of ASCII letters
-and digits without regard to case. Texts that may hold the tokenizer's special strings are encoded whole.
+Results do not depend on what is kept. Chunks are found by a 64-bit hash, those of ASCII without regard to
+case, and their bytes are compared; where two share a hash, their texts are encoded whole. Texts that may hold the tokenizer's special strings are encoded whole.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers.pre_tokenizers import ByteLevel
 
-from cargoledger.llm.words import BASES, BYTE_VALUES, LOWER, prefix_hash, span_hash, utf8
+from cargoledger.llm.words import LOWER, byte_hash, same_bytes, utf8
 
 KEPT = 1_000_000
 SLOTS = 1 << 21
@@ -89,6 +89,8 @@ class ChunkEncoder:
         self.others: dict[int, int] = {}  # chunks whose slot another one took first
         self.hashes, self.flat, self.offsets = Growing(np.uint64), Growing(np.uint32), Growing(np.int64)
         self.offsets.append(np.zeros(1, np.int64))
+        self.spelled, self.spelled_at = Growing(np.uint8), Growing(np.int64)
+        self.spelled_at.append(np.zeros(1, np.int64))
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each chunk, -1 if it is not known."""
@@ -117,6 +119,9 @@ class ChunkEncoder:
         self.offsets.append(self.flat.n + np.cumsum(lengths))
         self.flat.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())))
         self.hashes.append(hashes)
+        spelled = [c.encode() for c in chunks]
+        self.spelled_at.append(self.spelled.n + np.cumsum([len(c) for c in spelled]))
+        self.spelled.append(np.frombuffer(b"".join(spelled), np.uint8))
         slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
         number = np.arange(first, first + len(hashes), dtype=np.int32)
         free = self.slots[slot] < 0
@@ -139,6 +144,16 @@ class ChunkEncoder:
             number = self._find(hashes)
         return number
 
+    def _same(self, number: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether chunks are spelled like the known ones of their hash."""
+        at = self.spelled_at.values
+        known, length = at[number], end - start
+        out = at[number + 1] - known == length
+        like = np.flatnonzero(out)
+        spelled = self.spelled.values[: self.spelled.n]
+        out[like] = same_bytes(data, start[like], spelled, known[like], length[like])
+        return out
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (no nulls), and the offset of each text in them."""
         special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
@@ -149,12 +164,16 @@ class ChunkEncoder:
         start, end = chunks_of(data, bounds)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        hashes = span_hash(prefix_hash(BYTE_VALUES[data], BASES[0]), BASES[0], start, end)
         # lowering the case first is only safe where no combining mark can follow
-        low = span_hash(prefix_hash(BYTE_VALUES[LOWER[data]], BASES[0]), BASES[0], start, end)
         other = np.concatenate([[0], np.cumsum(KIND[data] == 3)])
-        hashes = np.where(other[end] == other[start], low, hashes)
-        number = self._numbers(hashes, data, start, end)
+        low = np.where(other[end] == other[start], len(data), 0)
+        both = np.concatenate([data, LOWER[data]])
+        number = self._numbers(byte_hash(both, start + low, end + low), both, start + low, end + low)
+        clash = np.flatnonzero(~self._same(number, both, start + low, end + low))
+        if len(clash):
+            rows = np.zeros(len(texts), bool)
+            rows[np.searchsorted(bounds, start[clash], side="right") - 1] = True
+            return self._with_special(texts, rows)
         offsets = self.offsets.values
         first = offsets[number]
         lengths = offsets[number + 1] - first

@@ -1,15 +1,19 @@
 """Words of many texts at once: byte positions and hashes as numpy arrays.
 
 A task turns an Arrow column into blocks of about `BLOCK` bytes (a longer text is a block of its
-own), so memory is bounded by the longest text, whatever the batch. Hashes are polynomials modulo
-2**64 over random byte values, taken from prefix sums and then mixed.
+own), so memory is bounded by the longest text, whatever the batch.
+
+A word's hash takes in eight bytes at a time and mixes them after each step; words of more than `LANES`
+eights get a BLAKE2 digest. The hash of a run of words is made from those of its halves, mixed at every
+level. No step is linear in what came before, so words or runs of a regular build (as the Thue-Morse words, which
+make any polynomial modulo 2**64 collide) are told apart like others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -40,47 +44,84 @@ def random_words(seed: int, n: int) -> np.ndarray:
     return mix(steps + np.uint64(seed * 0x51ED2701 + 1))
 
 
-BYTE_VALUES = random_words(1, 256)
-#: Odd bases: one for bytes, two for the two independent hashes of word sequences.
-BASES = [int(x) | 1 for x in random_words(2, 3)]
+LANES = 8
+_LENGTH, _STEP, _LEFT, _RIGHT, _LEFT_2, _RIGHT_2 = (x | np.uint64(1) for x in random_words(2, 6))
+#: Masks that keep the first 0 to 8 bytes of a little-endian eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _eights(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes with room behind them, and the eight bytes from every place on as an integer."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return padded, np.ndarray((len(data) + 1,), "<u8", buffer=padded.data, strides=(1,))
+
+
+def same_bytes(one: np.ndarray, start: np.ndarray, two: np.ndarray, other: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether one[start : start + length] equals two[other : other + length], for arrays of spans."""
+    (padded, left), (padded_2, right) = _eights(one), _eights(two)
+    out = np.ones(len(start), bool)
+    live = np.arange(len(start))
+    for lane in range(LANES):
+        rest = length[live] - 8 * lane
+        if lane:
+            live, rest = live[rest > 0], rest[rest > 0]
+        if not len(live):
+            return out
+        mask = _FIRST[np.minimum(rest, 8)]
+        out[live] &= (left[start[live] + 8 * lane] & mask) == (right[other[live] + 8 * lane] & mask)
+    for k in np.flatnonzero(length > 8 * LANES).tolist():
+        out[k] = (padded[start[k] : start[k] + length[k]] == padded_2[other[k] : other[k] + length[k]]).all()
+    return out
 
 
-@lru_cache(maxsize=16)
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def byte_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end] for arrays of spans."""
+    padded, eights = _eights(data)
+    length = end - start
+    out = mix(length.astype(np.uint64) * _LENGTH + _STEP)
+    live, at = np.arange(len(start)), start
+    for lane in range(LANES):
+        left = length[live] - 8 * lane
+        if lane:
+            more = left > 0
+            live, left = live[more], left[more]
+        if not len(live):
+            return out
+        bytes_ = eights[at[live] + 8 * lane] & _FIRST[np.minimum(left, 8)]
+        out[live] = mix(out[live] * _STEP ^ mix(bytes_ + np.uint64(lane + 1)))
+    long = np.flatnonzero(length > 8 * LANES)
+    whole = memoryview(padded)
+    for k, a, b in zip(long.tolist(), start[long].tolist(), end[long].tolist(), strict=True):
+        out[k] = int.from_bytes(blake2b(whole[a:b], digest_size=8).digest(), "little")
+    return out
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept for lengths up to a block."""
-    if n <= BLOCK + 1:
-        return _powers(base, BLOCK + 1)[:n]
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left * _LEFT + right * _RIGHT)
 
 
-def prefix_hash(values: np.ndarray, base: int) -> np.ndarray:
-    """Prefix sums from which `span_hash` takes the hash of any span."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(base, len(values)), out=out[1:])
-    return out
+def run_hash(words: np.ndarray, length: int) -> np.ndarray:
+    """Hash of each run of `length` words (words[i : i + length] at i), from the hashes of the words."""
+    return _run_hashes(words, length)[0]
 
 
-def span_hash(prefix: np.ndarray, base: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Mixed hash of values[start:end] for arrays of spans."""
-    inverse = powers(pow(base, -1, 1 << 64), len(prefix))
-    return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
+def run_hashes(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each run, the second made of the halves in another way."""
+    one, left, right = _run_hashes(words, length)
+    return one, mix(left * _LEFT_2 + right * _RIGHT_2 + np.uint64(length))
 
 
-def rolling_hash(prefix: np.ndarray, base: int, length: int) -> np.ndarray:
-    """Mixed hashes of all spans of one length."""
-    n = len(prefix) - length
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    inverse = powers(pow(base, -1, 1 << 64), n)
-    return mix((prefix[length:] - prefix[:n]) * inverse + np.uint64(length))
+def _run_hashes(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, and those of the two halves (of which the second may begin within the first)."""
+    if len(words) < length:
+        none = np.zeros(0, np.uint64)
+        return none, none, none
+    out, width, left, right = words, 1, words, words
+    while width < length:
+        step = min(width, length - width)
+        left, right = out[: len(out) - step], out[step:]
+        out, width = _joined(left, right), width + step
+    return out, left, right
 
 
 @dataclass
@@ -102,9 +143,7 @@ class Block:
         return len(self.first) - 1
 
     def word_hashes(self) -> np.ndarray:
-        return span_hash(
-            prefix_hash(BYTE_VALUES[self.data], BASES[0]), BASES[0], self.start, self.end
-        )
+        return byte_hash(self.data, self.start, self.end)
 
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.rows), np.diff(self.first))
