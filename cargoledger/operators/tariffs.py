@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cargoledger.functions.labels import band_label, service_name, zone_order
 from cargoledger.functions.money import FINE, RATE, cents, or_zero
 from cargoledger.operators.pricing import (
-    AUTOMATIC, PriceBook, flat_with_vat, lookup_fuel, normalise_method, price, validity_window,
+    AUTOMATIC, PriceBook, flat_with_vat, normalise_method, price, validity_window,
 )
 from cargoledger.rules import DEFAULT_RULES, FLAT, METHODS, Rules
 from cargoledger.schemas import TARIFF_VERSIONS, conform
@@ -47,9 +47,55 @@ def tariff_preview(
     current = cost_rates.filter(validity_window(day, F.col("valid_from"), F.col("valid_to")))
     rows = current.join(wanted, "carrier")
     kilo = F.coalesce("kilo_min", F.lit(0.0))
-    priced = price(rows, book, "exact_price", kilo=kilo, day=day, rules=rules)
-    shown = lookup_fuel(priced, book, "fuel", day=day)
-    return shown.withColumn("price", cents(F.col("exact_price"))).select(*PREVIEW_COLUMNS)
+    priced = price(rows, book, "exact_price", kilo=kilo, day=day, fuel="fuel", rules=rules)
+    return priced.withColumn("price", cents(F.col("exact_price"))).select(*PREVIEW_COLUMNS)
+
+
+def price_lists_wanted(
+    changed: DataFrame, client_carriers: DataFrame, changed_rates: DataFrame | None = None,
+    clients: DataFrame | None = None,
+) -> DataFrame:
+    """The price lists (seller, carrier) that a change calls for, each once.
+
+    ``changed`` are the sellers whose configuration changed, as `config_changed` returns them: all their carriers.
+    With ``changed_rates`` (rate rows by carrier) also those of all ``clients`` who ship with such a carrier.
+    """
+    columns = ("seller_id", "carrier", "client", "method", "margin")
+    wanted = changed.join(client_carriers, "seller_id").select(*columns)
+    if changed_rates is not None:
+        carriers = changed_rates.select("carrier").distinct()
+        touched = clients.join(client_carriers.join(carriers, "carrier", "left_semi"), "seller_id")
+        others = touched.select(*columns).join(wanted, ["seller_id", "carrier"], "left_anti")
+        wanted = wanted.unionByName(others.select(*columns))
+    return wanted.dropDuplicates(["seller_id", "carrier"])
+
+
+def reprice(
+    stored: DataFrame, wanted: DataFrame, cost_rates: DataFrame, book: PriceBook, as_of: date,
+    rules: Rules = DEFAULT_RULES,
+) -> DataFrame:
+    """The stored price lists with those of ``wanted`` priced anew; no other list is priced or ranked.
+
+    A list that is wanted but no longer has rows (its client went automatic, its rates ended) goes.
+    """
+    fresh = tariff_preview(wanted, cost_rates, book, as_of, rules)
+    lists = wanted.select("seller_id", "carrier").distinct()
+    return stored.join(lists, ["seller_id", "carrier"], "left_anti").select(stored.columns).unionByName(fresh)
+
+
+def generated_tariffs(
+    preview: DataFrame, wanted: DataFrame, as_of: date, created_at: str, rules: Rules = DEFAULT_RULES
+) -> DataFrame:
+    """A version row to be for each price list that has rows: what `tariff_version` numbers."""
+    lists = preview.groupBy("seller_id", "carrier", "method").agg(F.count(F.lit(1)).alias("bytes"))
+    named = lists.join(wanted.select("seller_id", "carrier", "client", "margin"), ["seller_id", "carrier"])
+    label = F.concat_ws("/", F.lit("tariffs"), F.col("seller_id"), F.col("carrier"))
+    return named.select(
+        "seller_id", "client", "carrier", "method", "margin",
+        F.lit(rules.vat).cast(RATE).alias("vat"), F.lit(as_of).alias("valid_from"), F.lit(None).cast("date").alias("valid_to"),
+        label.alias("path"), F.concat(F.lit("tariff "), F.col("client")).alias("filename"),
+        "bytes", F.lit(created_at).cast("timestamp_ntz").alias("created_at"),
+    )
 
 
 def tariff_preview_flat(

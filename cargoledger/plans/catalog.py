@@ -64,6 +64,10 @@ class Workspace(Domain):
             _STORED[key] = build(f"{tables.shared_folder(self.spark)}/{session}/{data}/{name}")
         return _STORED[key]
 
+    def scratch(self, name: str, df: DataFrame) -> DataFrame:
+        """A frame written once per session and data folder, and read back."""
+        return self._stored(name, lambda path: tables.stored(df, path))
+
     @property
     def book(self) -> pricing.PriceBook:
         compiled = lambda: pricing.price_book(
@@ -134,17 +138,30 @@ class Workspace(Domain):
         return pricing.price(self.classified.select(*columns), self.book)
 
     @cached_property
-    def preview_clients(self) -> DataFrame:
-        """A price list for one client of each pricing method, with each of its carriers."""
-        first = self.credit_config.groupBy("method").agg(F.min("seller_id").alias("seller_id"))
-        wanted = self.credit_config.join(first.select("seller_id"), "seller_id")
-        return wanted.join(self.client_carriers, "seller_id").select(
-            "seller_id", "carrier", "method", "margin"
-        )
+    def config_after(self) -> DataFrame:
+        return receivables.update_credit_config(self.credit_config, self.config_changes)
 
     @cached_property
+    def wanted_lists(self) -> DataFrame:
+        """The price lists that a batch of configuration changes calls for."""
+        changed = receivables.config_changed(self.credit_config, self.config_after)
+        return tariffs.price_lists_wanted(changed, self.client_carriers)
+
+    @property
     def preview(self) -> DataFrame:
-        return tariffs.tariff_preview(self.preview_clients, self.cost_rates, self.book, AS_OF)
+        """The lists wanted, priced once and stored for all that read them."""
+        build = lambda: tariffs.tariff_preview(self.wanted_lists, self.cost_rates, self.book, AS_OF)
+        return self._stored("preview", lambda path: tables.stored(build(), path))
+
+    @property
+    def earlier_lists(self) -> DataFrame:
+        """All clients' price lists before the changes."""
+
+        def build() -> DataFrame:
+            clients = self.credit_config.join(self.client_carriers, "seller_id")
+            return tariffs.tariff_preview(clients, self.cost_rates, self.book, AS_OF)
+
+        return self._stored("price-lists", lambda path: tables.stored(build(), path))
 
     @cached_property
     def generated(self) -> DataFrame:
@@ -285,7 +302,20 @@ def latest_shipment(w: Workspace) -> DataFrame:
 def dedup_by_id(w: Workspace) -> DataFrame:
     tie = mirror.SHIPMENT_TIES
     latest = mirror.dedup_by_id(w.shipment_facts, "shipment_id", "version", *tie)
-    return latest.select("shipment_id", "version", "waybill", *tie)
+    return latest.select("shipment_id", "version", "waybill", *tie[:-2])
+
+
+@query
+def merge_shipments(w: Workspace) -> DataFrame:
+    """The mirror after two batches: facts up to a middle version, then the later ones and, late, every fourth earlier one again."""
+    facts = w.shipment_facts
+    low, high = facts.agg(F.min("version"), F.max("version")).first()
+    middle = F.lit(low + (high - low) / 2 if low else None).cast(facts.schema["version"].dataType)
+    early = facts.filter(F.col("version") <= middle)
+    state = mirror.dedup_by_id(early, "shipment_id", "version", *mirror.SHIPMENT_TIES)
+    state = w.scratch("shipment-state", state)
+    late = facts.filter((F.col("version") > middle) | (F.col("shipment_id") % 4 == 0))
+    return mirror.merge_shipments(state, mirror.latest_shipment(state), late)[1]
 
 
 @query
@@ -558,11 +588,24 @@ def fuel_today(w: Workspace) -> DataFrame:
     return tariffs.fuel_today(w.fuel_rates, AS_OF)
 
 
+@query
+def reprice(w: Workspace) -> DataFrame:
+    """All stored price lists after the changes; only changed sellers are priced."""
+    return tariffs.reprice(w.earlier_lists, w.wanted_lists, w.cost_rates, w.book, AS_OF)
+
+
 @query
 def tariff_version(w: Workspace) -> DataFrame:
     return tariffs.tariff_version(w.tariff_versions, w.new_tariffs)
 
 
+@query
+def repriced_versions(w: Workspace) -> DataFrame:
+    """Version rows of the price lists that a batch of configuration changes made."""
+    lists = tariffs.generated_tariffs(w.preview, w.wanted_lists, AS_OF, CLOSED_AT)
+    return tariffs.tariff_version(w.tariff_versions, lists)
+
+
 @query
 def tariff_history(w: Workspace) -> DataFrame:
     return tariffs.tariff_history(w.tariff_versions)
@@ -794,13 +837,12 @@ def statement_totals(w: Workspace) -> DataFrame:
 
 @query
 def update_credit_config(w: Workspace) -> DataFrame:
-    return receivables.update_credit_config(w.credit_config, w.config_changes)
+    return w.config_after
 
 
 @query
 def config_changed(w: Workspace) -> DataFrame:
-    after = receivables.update_credit_config(w.credit_config, w.config_changes)
-    return receivables.config_changed(w.credit_config, after)
+    return receivables.config_changed(w.credit_config, w.config_after)
 
 
 @query

@@ -8,7 +8,7 @@ from decimal import Decimal
 # Pricing methods, the cost-plus subset, and the legacy alias.
 AUTOMATIC = "automatic"
 FLAT = "flat"
-MARGIN_METHODS = ("margin_global", "margin_zone", "margin_kilo")
+MARGIN_GLOBAL, MARGIN_ZONE, MARGIN_KILO = MARGIN_METHODS = ("margin_global", "margin_zone", "margin_kilo")
 METHODS = (AUTOMATIC, *MARGIN_METHODS, FLAT)
 LEGACY_FLAT = "manual"
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -235,3 +237,53 @@ def test_written_slices_and_month_pruning(spark, tmp_path):
     spark.catalog.refreshByPath(str(tmp_path / "r"))
     found = spark.read.schema(stored.schema).parquet(str(tmp_path / "r"))
     assert sorted(r["waybill"] for r in found.collect()) == ["NEW", "W1", "W2"]
+
+
+FACTS = (
+    "shipment_id long, version int, waybill string, carrier_name string, seller_id long, seller_name string,"
+    " payment_model string, sale_price decimal(18,6), created_at timestamp_ntz"
+)
+
+
+def _facts(spark, n, seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        rows.append((
+            rng.randrange(40), rng.randrange(6), f"W{rng.randrange(25)}", rng.choice(["DHL", "FEDEX"]),
+            rng.choice([None, 1, 2]), rng.choice([None, "A", "B"]), rng.choice([None, "", "Prepago"]),
+            rng.choice([None, Decimal(rng.randrange(9))]), dt.datetime(2026, 1, rng.randrange(1, 9)),
+        ))
+    return spark.createDataFrame(rows, FACTS)
+
+
+def test_two_batches_equal_one_full_run(spark, tmp_path):
+    first, second = _facts(spark, 120, 1), _facts(spark, 60, 2)
+    both = first.unionByName(second).unionByName(first.limit(20))
+    state = mirror.dedup_by_id(first, "shipment_id", "version", *mirror.SHIPMENT_TIES)
+    state = tables.stored(state, f"{tmp_path}/state")
+    after, merged = mirror.merge_shipments(state, mirror.latest_shipment(state), second.unionByName(first.limit(20)))
+    want = mirror.dedup_by_id(both, "shipment_id", "version", *mirror.SHIPMENT_TIES)
+    assert sorted(map(repr, after.collect())) == sorted(map(repr, want.select(after.columns).collect()))
+    assert sorted(map(repr, merged.collect())) == sorted(map(repr, mirror.latest_shipment(both).collect()))
+
+
+def test_late_older_versions_and_replays_change_nothing(spark, tmp_path):
+    facts = _facts(spark, 150, 3)
+    state = mirror.dedup_by_id(facts, "shipment_id", "version", *mirror.SHIPMENT_TIES)
+    state = tables.stored(state, f"{tmp_path}/state")
+    changed, gone = mirror.merge_latest(state, facts, "shipment_id", "version", *mirror.SHIPMENT_TIES)
+    assert changed.count() == gone.count() == 0
+    older = state.withColumn("version", F.col("version") - 1).withColumn("waybill", F.lit("W_old"))
+    after, merged = mirror.merge_shipments(state, mirror.latest_shipment(state), older)
+    assert after.exceptAll(state).count() == 0
+    assert "W_old" not in {r["waybill"] for r in merged.collect()}
+    assert mirror.high_water(state) == max(r["version"] for r in facts.collect())
+
+
+def test_tied_versions_keep_one_row(spark):
+    facts = _facts(spark, 200, 4).withColumn("version", F.lit(1))
+    latest = mirror.dedup_by_id(facts, "shipment_id", "version", *mirror.SHIPMENT_TIES).collect()
+    assert len({r["shipment_id"] for r in latest}) == len(latest)
+    again = mirror.dedup_by_id(facts.repartition(7), "shipment_id", "version", *mirror.SHIPMENT_TIES).collect()
+    assert sorted(map(repr, latest)) == sorted(map(repr, again))
