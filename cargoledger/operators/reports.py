@@ -167,6 +167,26 @@ def match_waybills(
     return month_range_filter(recon, since, until)
 
 
+SEARCH_ORDER = ("cost", "waybill")
+
+
+def after_waybill(cost: Column, waybill: Column) -> Column:
+    """Rows behind a given one in the order of a search: cost falling, NULL last, then waybill."""
+    same, none = F.col("cost").eqNullSafe(cost) & (F.col("waybill") > waybill), F.col("cost").isNull()
+    return same | (cost.isNotNull() & (none | (F.col("cost") < cost)))
+
+
+def waybill_page(matches: DataFrame, limit: int, after: tuple | None = None) -> DataFrame:
+    """The next page of matching waybills, costliest first, behind the last one (cost, waybill) of the page before.
+
+    A distributed top-k of ``limit`` rows per task, however deep the page.
+    """
+    if after is not None:
+        cost, waybill = after
+        matches = matches.filter(after_waybill(F.lit(cost).cast(CENTS), F.lit(waybill)))
+    return _shown(matches.orderBy(F.col("cost").desc_nulls_last(), "waybill").limit(limit))
+
+
 def search_waybills(
     recon: DataFrame, *, limit: int = 100, offset: int = 0, **filters: str | None
 ) -> DataFrame:
@@ -177,6 +197,10 @@ def search_waybills(
         .offset(offset)
         .limit(limit)
     )
+    return _shown(page)
+
+
+def _shown(page: DataFrame) -> DataFrame:
     return page.select(
         "waybill", "carrier", "client", "account_type", "status", "is_return", "cost",
         "sale_price", F.col("overweight_billed").alias("overweight"),
@@ -219,6 +243,11 @@ def close_months(recon: DataFrame, periods: DataFrame) -> DataFrame:
         total(_receivable()).alias("receivable"),
         total(_to_accrue()).alias("to_accrue"),
     )
+    return with_period_state(months, periods)
+
+
+def with_period_state(months: DataFrame, periods: DataFrame) -> DataFrame:
+    """Month totals with the state of their period, open by default, newest first."""
     state = periods.select("month", F.col("status").alias("_status"), "closed_at")
     return (
         months.join(state, "month", "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 from functools import cached_property
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 from cargoledger import schemas
 from cargoledger.functions import cleaners, labels
 from cargoledger.functions.money import AMOUNT, cents
-from cargoledger.operators import pricing, receivables, reconcile, reports, tariffs
+from cargoledger.operators import pricing, receivables, reconcile, reports, rollups, search, tariffs
 from cargoledger.plans.domain import Domain
 from cargoledger.rules import DEFAULT_RULES
 from cargoledger.sources import carriers, mirror, surcharges, tables
@@ -103,6 +104,20 @@ class Workspace(Domain):
             "reconciliation", lambda path: tables.write_reconciliation(self.reconciled, path)
         )
 
+    @property
+    def rolled(self) -> DataFrame:
+        """The stored roll-up of the result."""
+        return self._stored("rollup", lambda path: rollups.write_rollup(self.recon, path))
+
+    def postings(self, column: str) -> DataFrame:
+        """Stored trigram postings of a column of the result."""
+        return self._stored(f"{column}-postings", lambda path: search.store_postings(self.recon, column, path))
+
+    def new_folder(self, name: str) -> str:
+        """A path of its own for a query that changes a stored table."""
+        session = self.spark.sparkContext.applicationId
+        return f"{tables.shared_folder(self.spark)}/{session}/{name}-{uuid.uuid4().hex[:12]}"
+
     @property
     def variant_files(self) -> str:
         """Carrier files with two header orders; the second lacks columns the first has."""
@@ -347,9 +362,25 @@ def replace_all(w: Workspace) -> DataFrame:
     return tables.replace_all(w.shipments, mirror.latest_shipment(w.shipment_facts))
 
 
+@query
+def replace_stored_slice(w: Workspace) -> DataFrame:
+    """As `replace_slice`, on a table stored by carrier: two carriers get new rows, one is emptied."""
+    renewed = w.carrier_invoices.select(
+        "carrier", "waybill", F.lit("Reloaded").alias("concept"), F.col("surcharges").alias("amount")
+    ).filter(F.col("carrier").isin("dhl", "fedex"))
+    path, kind = w.new_folder("surcharges"), schemas.SURCHARGES
+    tables.write_overwrite(w.surcharges, path, ["carrier"])
+    named = w.spark.createDataFrame([("dhl",), ("fedex",), ("paquete_express",)], "carrier string")
+    return tables.upsert_slices(
+        w.spark, path, kind, ["carrier"], named, lambda old: schemas.conform(renewed, kind), w.new_folder("staging")
+    )
+
+
 @query
 def load_log(w: Workspace) -> DataFrame:
-    entry = tables.log_entry(w.shipments, "shipments", "multi", "1995-01-01", CLOSED_AT)
+    """The load is written once and counted on the way."""
+    _, rows = tables.counted_write(w.shipments, w.new_folder("shipments"))
+    entry = tables.counted_entry(w.spark, rows, "shipments", "multi", "1995-01-01", CLOSED_AT)
     return tables.load_log(w.earlier_loads, entry)
 
 
@@ -617,6 +648,30 @@ def summary_by_status(w: Workspace) -> DataFrame:
     return reports.summary_by_status(w.recon)
 
 
+@query
+def status_rollup(w: Workspace) -> DataFrame:
+    return rollups.summary_by_status(w.rolled)
+
+
+@query
+def kpis_rollup(w: Workspace) -> DataFrame:
+    return rollups.kpis(w.rolled)
+
+
+@query
+def months_rollup(w: Workspace) -> DataFrame:
+    return rollups.close_months(w.rolled, w.periods)
+
+
+@query
+def clients_rollup(w: Workspace) -> DataFrame:
+    """After three months were summed anew."""
+    path = w.new_folder("rollup")
+    rollups.write_rollup(w.recon, path)
+    months = w.spark.createDataFrame([("1996-03",), (MONTH,), (None,)], "ship_month string")
+    return rollups.by_client(rollups.refresh_rollup(path, w.recon, months, w.new_folder("staging")))
+
+
 @query
 def pipeline_summary(w: Workspace) -> DataFrame:
     """The chain in one: raw files, surcharges and mirror, reconciled, by status."""
@@ -649,6 +704,16 @@ def search_waybills(w: Workspace) -> DataFrame:
     )
 
 
+@query
+def search_pages(w: Workspace) -> DataFrame:
+    """The second page of a search by trigram postings: a hundred rows behind the twentieth match."""
+    open_rows = reports.match_waybills(w.recon, status="extra_due")
+    texts = {"client": "customer", "waybill": "001"}
+    found = search.matching_rows(open_rows, **{c: (w.postings(c), t) for c, t in texts.items()})
+    last = reports.waybill_page(found, 20).tail(1)
+    return reports.waybill_page(found, 100, (last[0]["cost"], last[0]["waybill"]) if last else None)
+
+
 @query
 def search_total(w: Workspace) -> DataFrame:
     return reports.search_total(w.recon, status="extra_due", client="customer", waybill="1")
@@ -773,6 +838,18 @@ def merge_charges(w: Workspace) -> DataFrame:
     return receivables.merge_charges(w.charges, w.generated, CLOSED_AT)
 
 
+@query
+def upsert_charges(w: Workspace) -> DataFrame:
+    """As `merge_charges` for one generated month, on a ledger stored by month."""
+    path, month = w.new_folder("charges"), F.col("month") == MONTH
+    tables.write_overwrite(w.charges, path, ["month"])
+    merge = lambda old: receivables.merge_charges(old, w.generated.filter(month), CLOSED_AT, MONTH)
+    touched = w.spark.createDataFrame([(MONTH,)], "month string")
+    return tables.upsert_slices(
+        w.spark, path, schemas.CHARGES, ["month"], touched, merge, w.new_folder("staging")
+    )
+
+
 @query
 def charge_totals(w: Workspace) -> DataFrame:
     return receivables.charge_totals(w.charges)

@@ -470,6 +470,14 @@ check(
     select 'shipments', 'multi', '1995-01-01', count(*), timestamp '2002-02-01 08:00:00'
     from {shipments}""",
 )
+check(
+    "replace_stored_slice", "carrier waybill concept amount:n",
+    """select carrier, waybill, concept, amount from {surcharges}
+    where carrier not in ('dhl', 'fedex', 'paquete_express')
+    union all
+    select carrier, waybill, 'Reloaded', surcharges from {carrier_invoices}
+    where carrier in ('dhl', 'fedex')""",
+)
 check(
     "evolve_schema", "seller_id client method value:n note margin:n credit_days",
     """select seller_id, client, method, value, note, cast(null as decimal(9,6)) as margin,
@@ -826,6 +834,14 @@ check(
     f"""select *, overweight_billed as overweight from {{recon}} where {_MATCH}
     order by cost desc nulls last, waybill limit 100 offset 20""",
 )
+check(
+    "search_pages",
+    "waybill carrier client account_type status is_return cost:n sale_price:n overweight:n extra:n "
+    "surcharges:n income:n margin:n ship_month",
+    """select *, overweight_billed as overweight from {recon}
+    where status = 'extra_due' and client ilike '%customer%' and waybill ilike '%001%'
+    order by cost desc nulls last, waybill limit 100 offset 20""",
+)
 check("search_total", "total", f"select count(*) as total from {{recon}} where {_MATCH}")
 check(
     "month_range_filter", "ship_month waybills",
@@ -1137,3 +1153,25 @@ check(
     where not exists (select 1 from {new_attachments} n
       where n.seller_id = a.seller_id and n.month = a.month)""",
 )
+
+for _name, _same in (
+    ("status_rollup", "summary_by_status"), ("kpis_rollup", "kpis"), ("months_rollup", "close_months"),
+    ("clients_rollup", "by_client"),
+):
+    CHECKS[_name] = CHECKS[_same]
+check(
+    "upsert_charges", CHARGE,
+    """select c.seller_id, coalesce(g.client, c.client) as client, c.month,
+      coalesce(g.waybills, c.waybills) as waybills, coalesce(g.amount, c.amount) as amount,
+      c.status, c.generated_at, c.note, coalesce(g.account_type, c.account_type) as account_type,
+      coalesce(g.concept, c.concept) as concept, c.paid_amount, c.sent_date, c.due_date
+    from {charges} c
+    left join (select * from {generated_once} where month = '1999-01') g
+      on g.seller_id = c.seller_id and g.month = c.month
+    where g.seller_id is not null or c.status <> 'generated' or c.month <> '1999-01'
+    union all
+    select g.seller_id, g.client, g.month, g.waybills, g.amount, 'generated',
+      timestamp '2002-02-01 08:00:00', null, g.account_type, g.concept, 0, null, null
+    from {generated_once} g where g.month = '1999-01'
+    and not exists (select 1 from {charges} c where c.seller_id = g.seller_id and c.month = g.month)""",
+)

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from functools import reduce
+from operator import and_, or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cargoledger.schemas import LOAD_LOG, conform
 
@@ -48,6 +52,26 @@ def log_entry(
     return conform(row, LOAD_LOG)
 
 
+def counted_write(
+    df: DataFrame, path: str, partition_by: list[str] | None = None
+) -> tuple[DataFrame, int]:
+    """Write a table and count its rows on the way, in the one job that writes them."""
+    seen = Observation()
+    write_overwrite(df.observe(seen, F.count(F.lit(1)).alias("rows")), path, partition_by)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns), seen.get["rows"]
+
+
+def counted_entry(
+    spark: SparkSession, rows: int, table: str, carrier: str, since: str, loaded_at: str
+) -> DataFrame:
+    """One load-log row for a load that was counted as it was written."""
+    row = spark.range(1).select(
+        F.lit(table).alias("table_name"), F.lit(carrier).alias("carrier"), F.lit(since).alias("since"),
+        F.lit(rows).alias("row_count"), F.lit(loaded_at).alias("loaded_at"),
+    )
+    return conform(row, LOAD_LOG)
+
+
 def load_log(log: DataFrame, entry: DataFrame) -> DataFrame:
     """The log with one more entry."""
     return log.unionByName(entry)
@@ -91,6 +115,53 @@ def write_slices(df: DataFrame, path: str, partition_by: list[str]) -> None:
     )
 
 
+def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A stored table in its own column order; partition columns would come last otherwise."""
+    return spark.read.schema(schema).parquet(path).select(schema.names)
+
+
+def in_slices(keys: list[str], slices: list[tuple]) -> Column:
+    """Whether a row is in one of the slices; on partition columns this prunes directories."""
+    each = [reduce(and_, [F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(keys, s, strict=True)]) for s in slices]
+    return reduce(or_, each, F.lit(False))
+
+
+def drop_slices(spark: SparkSession, path: str, keys: list[str], slices: list[tuple]) -> None:
+    """Delete partition directories."""
+    name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    for values in slices:
+        folder = "/".join(name(k, v) for k, v in zip(keys, values, strict=True))
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{folder}")
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def upsert_slices(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    keys: list[str],
+    touched: DataFrame,
+    build: Callable[[DataFrame], DataFrame],
+    staging: str,
+) -> DataFrame:
+    """Replace the touched slices of a table that is partitioned by ``keys``; returns the table.
+
+    ``build`` gets the stored rows of those slices, read from their directories alone, and returns what they are to
+    hold. That is written to ``staging`` first, so a run that is cut off can be repeated, then moved in partition by
+    partition; a slice left without rows goes. Other directories are neither read nor written. Only the names of the
+    touched slices come to the driver, no more than the table has directories.
+    """
+    slices = [tuple(r) for r in touched.select(keys).distinct().collect()]
+    old = read_table(spark, path, schema).filter(in_slices(keys, slices))
+    fresh = stored(build(old).select(schema.names), staging)
+    left = {tuple(r) for r in fresh.select(keys).distinct().collect()}
+    if strangers := left - set(slices):
+        raise ValueError(f"rows outside the touched slices: {sorted(map(repr, strangers))[:3]}")
+    write_slices(fresh, path, keys)
+    drop_slices(spark, path, keys, [s for s in slices if s not in left])
+    return read_table(spark, path, schema)
+
+
 def write_reconciliation(df: DataFrame, path: str) -> DataFrame:
     """Create or replace the result table, one directory per ship month; read it back.
 
