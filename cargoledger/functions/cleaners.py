@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,7 @@ ISO_FORMATS = ("yyyy-M-d", "yyyy-M-d H:m", "yyyy-M-d H:m:s")
 ISO_TAIL = r"(?<=:[0-9]{1,2})([.,][0-9]+)?\s*(Z|[+-][0-9]{2}:?[0-9]{2})?$"
 RETURN_PATTERN = "^(?i:RT)[0-9]{10}$"
 ORIGIN_PATTERN = "[0-9]{10}"
+WIDE = T.DecimalType(38, 6)
 
 
 def as_text(c: Column, kind: T.DataType = T.StringType()) -> Column:
@@ -37,15 +40,42 @@ def has_text(c: Column, kind: T.DataType = T.StringType()) -> Column:
     return c.isNotNull()
 
 
-def clean_text(c: Column, kind: T.DataType = T.StringType()) -> Column:
-    """Collapse whitespace, trim, and turn empty text into NULL.
+def collapsed(c: Column, kind: T.DataType = T.StringType()) -> Column:
+    """Text with single plain spaces inside and none outside.
 
     Most cells hold single plain spaces at most; only others meet the pattern.
     """
     text = as_text(c, kind)
     plain = ~text.rlike(ODD_BLANKS)
-    collapsed = F.when(plain, text).otherwise(F.regexp_replace(text, BLANKS_PATTERN, " "))
-    return F.nullif(F.trim(collapsed), F.lit(""))
+    return F.trim(F.when(plain, text).otherwise(F.regexp_replace(text, BLANKS_PATTERN, " ")))
+
+
+def clean_text(c: Column, kind: T.DataType = T.StringType()) -> Column:
+    """Collapse whitespace, trim, and turn empty text into NULL."""
+    return F.nullif(collapsed(c, kind), F.lit(""))
+
+
+def clean_texts(cells: Column) -> Column:
+    """`clean_text` of an array of texts. The second pass reads what the first has worked out; in one, each cell would be
+    cleaned twice, since a lambda shares no common parts."""
+    return F.transform(F.transform(cells, collapsed), lambda x: F.nullif(x, F.lit("")))
+
+
+def clean_amounts(cells: Column, target: T.DecimalType) -> Column:
+    """`clean_number` of an array of texts as decimals, each cast once: to the widest type, then tested for its range."""
+    limit = F.lit(Decimal(10) ** (target.precision - target.scale)).cast(WIDE)
+    refusal = F.raise_error(F.lit("amount too large")).cast(target)
+
+    def fitted(x: Column) -> Column:
+        return F.when(F.abs(x) >= limit, refusal).otherwise(F.coalesce(x, F.lit(0).cast(WIDE)).cast(target))
+
+    return F.transform(F.transform(cells, lambda x: x.try_cast(WIDE)), fitted)
+
+
+def holds_too_large(cells: Column, target: T.DecimalType) -> Column:
+    """Whether an array of texts has an amount that the type cannot hold."""
+    limit = F.lit(Decimal(10) ** (target.precision - target.scale)).cast(WIDE)
+    return F.exists(cells, lambda x: F.coalesce(F.abs(x.try_cast(WIDE)) >= limit, F.lit(False)))
 
 
 def clean_number_or_null(

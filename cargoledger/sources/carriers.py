@@ -163,6 +163,29 @@ def drop_blank_rows(raw: DataFrame, key_header: str) -> DataFrame:
     return raw.filter(cleaners.has_text(column_of(field.name), field.dataType))
 
 
+def refused_rows(raw: DataFrame, carrier: str) -> DataFrame:
+    """Rows with an amount beyond what the type holds, which `normalise_invoices` would end at: file, waybill and the row's
+    amounts as read. Load the rest with ``raw`` less these (`without_refused`), and count these in the load log."""
+    cells, rows = _amount_cells(raw, carrier), drop_blank_rows(raw, HEADER_MAPS[carrier].headers["waybill"])
+    key = _trimmed_headers(raw)[HEADER_MAPS[carrier].headers["waybill"]]
+    tag = F.col("source_file") if "source_file" in raw.columns else F.lit(None).cast("string")
+    return rows.filter(cleaners.holds_too_large(cells, AMOUNT)).select(
+        tag.alias("source_file"), cleaners.clean_text(column_of(key.name), key.dataType).alias("waybill"), cells.alias("amounts")
+    )
+
+
+def without_refused(raw: DataFrame, carrier: str) -> DataFrame:
+    return raw.filter(~cleaners.holds_too_large(_amount_cells(raw, carrier), AMOUNT))
+
+
+def _amount_cells(raw: DataFrame, carrier: str) -> Column:
+    """Amount and surcharge cells of a row, as text."""
+    spec, fields = HEADER_MAPS[carrier], _trimmed_headers(raw)
+    names = [spec.headers[n] for n in AMOUNT_COLUMNS if n in spec.headers] + list(spec.surcharge_headers)
+    found = [cleaners.as_text(column_of(fields[h].name), fields[h].dataType) for h in names if h in fields]
+    return F.array(*found).cast("array<string>")
+
+
 def normalise_invoices(
     raw: DataFrame, carrier: str, source_file: str | Column | None = None
 ) -> DataFrame:
@@ -182,7 +205,7 @@ def normalise_invoices(
         return cleaners.as_text(column_of(field.name), field.dataType)
 
     def cleaned(cells: list[Column], clean: Callable[[Column], Column], name: str) -> list[Column]:
-        return [F.transform(F.array(*cells), clean).alias(name)] if cells else []
+        return [clean(F.array(*cells)).alias(name)] if cells else []
 
     def date(name: str) -> Column:
         field = bound.get(name)
@@ -190,14 +213,14 @@ def normalise_invoices(
             return F.lit(None).cast("date")
         return cleaners.clean_date(column_of(field.name), field.dataType, spec.date_formats)
 
-    number = lambda c: cleaners.clean_number(c, AMOUNT)
+    number = lambda cells: cleaners.clean_amounts(cells, AMOUNT)
     pieces, kilos = bound.get("pieces"), bound.get("kilos")
     if source_file is None:
         origin = F.col("source_file") if "source_file" in raw.columns else F.lit(None)
     else:
         origin = source_file if isinstance(source_file, Column) else F.lit(source_file)
     parts = drop_blank_rows(raw, spec.headers["waybill"]).select(
-        *cleaned([cell(bound[n]) for n in texts], cleaners.clean_text, "texts"),
+        *cleaned([cell(bound[n]) for n in texts], cleaners.clean_texts, "texts"),
         *cleaned([cell(bound[n]) for n in amounts], number, "amounts"),
         *cleaned([cell(f) for f in extras], number, "extras"),
         (

@@ -287,3 +287,29 @@ def test_tied_versions_keep_one_row(spark):
     assert len({r["shipment_id"] for r in latest}) == len(latest)
     again = mirror.dedup_by_id(facts.repartition(7), "shipment_id", "version", *mirror.SHIPMENT_TIES).collect()
     assert sorted(map(repr, latest)) == sorted(map(repr, again))
+
+
+def test_rows_with_amounts_too_large_can_be_set_aside(spark):
+    spec = carriers.HEADER_MAPS["dhl"]
+    amount = spec.headers["net_amount"]
+    raw = spark.createDataFrame(
+        [("W1", "12.5", "f.csv"), ("W2", "9" * 13, "f.csv"), ("W3", "n/a", "g.csv"), (None, "9" * 20, "g.csv"), ("W4", "-1e12", "g.csv")],
+        f"`{spec.headers['waybill']}` string, `{amount}` string, source_file string",
+    )
+    refused = carriers.refused_rows(raw, "dhl").collect()
+    assert sorted((r["waybill"], r["source_file"]) for r in refused) == [("W2", "f.csv"), ("W4", "g.csv")]
+    loaded = carriers.normalise_invoices(carriers.without_refused(raw, "dhl"), "dhl").collect()
+    assert {r["waybill"]: r["net_amount"] for r in loaded} == {"W1": Decimal("12.5"), "W3": 0}
+    with pytest.raises(Exception, match="too large"):
+        carriers.normalise_invoices(raw, "dhl").collect()
+
+
+def test_arrays_of_cells_are_cleaned_like_single_cells(spark):
+    texts = [None, "", "  ", " a  b ", " x\ty", "12", "12d", "1e3", " 7 ", "-0.0000005", "999999999999.9999994", "NaN", "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    got = df.select(
+        cleaners.clean_texts(F.array("c"))[0].alias("t"), cleaners.clean_text(F.col("c")).alias("t1"),
+        cleaners.clean_amounts(F.array("c"), schemas.AMOUNT)[0].alias("n"), cleaners.clean_number(F.col("c"), schemas.AMOUNT).alias("n1"),
+    )
+    for r in got.collect():
+        assert r["t"] == r["t1"] and r["n"] == r["n1"]
