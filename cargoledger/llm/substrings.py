@@ -4,7 +4,7 @@ A window is `window` consecutive words (runs of anything but ASCII blanks, uncha
 document. Each word covered by a window whose word sequence also starts in a document with a
 smaller id goes; windows are judged on the input, not on what is left.
 
-Method. Start from windows of a seed length (`window` halved `levels` times). Those that occur in
+Method. Start from windows of a seed length (eight words for fifty). Those that occur in
 two documents or more are extended to twice their length, the last step to `window` itself, and
 counted again; a window that is unique at one length is never extended. Longer windows than
 `window` cannot change which words go, so the doubling ends there, or before, when no candidate
@@ -12,7 +12,7 @@ survives.
 
 * Of the seed windows only anchors take part: within each span of `window` words, the seed window
   with the least hash. Equal spans have equal anchors at equal places, so nothing is lost, and
-  about one position in fourteen is shuffled instead of all.
+  about one position in twenty-two is shuffled instead of all.
 * A document whose whole text also stands under a smaller id goes as a whole (if it has a window);
   its windows add nothing for others and are not compared. Whole texts are equal if 128 hash bits are.
 * Windows are compared by 96 bits of two hashes of their words, and only (hash, id)
@@ -40,11 +40,13 @@ from cargoledger.llm import common
 from cargoledger.llm.words import Block, blocks, run_hashes
 
 WINDOW = 50
+#: Doublings. The first length drops what shares no eight words with another document, each later one what shares no longer run.
+LEVELS = 3
 
 
 def level_lengths(window: int, levels: int) -> list[int]:
-    """Seed length, its doubles, and `window` as the last."""
-    length = max(1, window >> levels)
+    """Seed length, its doubles, and `window` as the last: `levels` steps, from a power of two (50: 8, 16, 32, 50)."""
+    length = max(1, (1 << (window - 1).bit_length()) >> levels)
     lengths = [length]
     while length < window:
         length = min(2 * length, window)
@@ -214,7 +216,7 @@ def _schema(kind: T.DataType, *hashes: tuple[str, T.DataType]) -> T.StructType:
 def remove_repeats(
     docs: DataFrame,
     window: int = WINDOW,
-    levels: int = 1,
+    levels: int = LEVELS,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:

@@ -37,7 +37,7 @@ def found(spark, rows, **how):
     )
 
 
-@pytest.mark.parametrize(("window", "levels"), [(8, 1), (8, 2), (7, 2), (50, 1)])
+@pytest.mark.parametrize(("window", "levels"), [(8, 1), (8, 2), (7, 2), (50, 1), (50, 3)])
 def test_matches_brute_force(spark, window, levels):
     rng = random.Random(window * 10 + levels)
     passages = [[rng.choice("abcdefgh") + str(rng.randrange(40)) for _ in range(90)] for _ in range(6)]
@@ -59,3 +59,9 @@ def test_matches_brute_force(spark, window, levels):
 
 def test_empty_table(spark):
     assert found(spark, []) == []
+
+
+def test_lengths_double():
+    assert substrings.level_lengths(50, 3) == [8, 16, 32, 50]
+    assert substrings.level_lengths(8, 2) == [2, 4, 8] and substrings.level_lengths(7, 1) == [4, 7]
+    assert substrings.level_lengths(1, 3) == [1]
