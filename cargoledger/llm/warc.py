@@ -16,6 +16,9 @@ the reason. Gaps are rows of the output, beside the records.
 
 * Page payloads are shuffled once, by page_id, to meet the decision on their role; revisits then
   leave without their payload. Votes are aggregates on (digest, length).
+* An archive is read in time linear in its size: members are inflated in chunks up to their own end, and a plain record's end is
+  looked at before its bytes are copied. A member that would inflate beyond `MOST_INFLATED` and a header longer than
+  `HEADER_BYTES` are gaps, with that reason.
 * A revisit's length and digest are read back from the record it refers to.
 
 Rows. Null page_id: a page like any other, written without a number; it is a response always, as it
@@ -45,6 +48,13 @@ VERSION = b"WARC/1.1\r\n"
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
 URN = "urn:page:"
+#: Bytes given to the inflater at a time, and the longest header that is searched for its end.
+CHUNK = 1 << 14
+HEADER_BYTES = 1 << 20
+#: A member that inflates to more is no record: no cell of a table could hold it.
+MOST_INFLATED = 1 << 30
+#: Records and payload bytes of one batch of the reader's output.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def record_bytes(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -196,16 +206,24 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int]:
     return headers, block, stop + 4
 
 
-def _member_at(data: bytes, at: int) -> tuple[bytes, int]:
-    """The inflated gzip member at a position, and its length."""
-    inflate = zlib.decompressobj(31)
+def _member_at(data: bytes, at: int, most: int = MOST_INFLATED) -> tuple[bytes, int]:
+    """The inflated gzip member at a position, and its length.
+
+    Only chunks up to the member's end are touched, so an archive is read in time linear in its size.
+    """
+    inflate, view, parts, size, fed = zlib.decompressobj(31), memoryview(data), [], 0, at
     try:
-        out = inflate.decompress(memoryview(data)[at:])
+        while not inflate.eof and fed < len(data):
+            chunk = view[fed : fed + CHUNK]
+            parts.append(inflate.decompress(chunk, most + 1 - size))
+            size, fed = size + len(parts[-1]), fed + len(chunk)
+            if size > most:
+                raise BadRecord("member inflates beyond the limit")
     except zlib.error as error:
         raise BadRecord("damaged member") from error
     if not inflate.eof:
         raise BadRecord("member without end")
-    return out, len(data) - at - len(inflate.unused_data)
+    return b"".join(parts), fed - at - len(inflate.unused_data)
 
 
 def record_at(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
@@ -218,9 +236,15 @@ def record_at(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
         return headers, block, taken
     if not _VERSION_LINE.match(data, at):
         raise BadRecord("neither member nor version line")
-    head = data.find(b"\r\n\r\n", at)
-    length = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", data[at : head + 2]) if head >= 0 else None
-    stop = head + 8 + int(length[1]) if length else min(len(data), at + 65536)
+    head = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
+    if head < 0:
+        raise BadRecord("header without end")
+    length = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)\s*\r\n", data[at : head + 2])
+    if not length:
+        raise BadRecord("no content length")
+    stop = head + 8 + int(length[1])
+    if data[stop - 4 : stop] != b"\r\n\r\n":
+        raise BadRecord("record end not where its length says")
     return parse_record(data[at:stop])
 
 
@@ -270,7 +294,7 @@ def _read_task(with_payload: bool):
 
         for batch in batches:
             for k in range(batch.num_rows):
-                archive, rows = batch["path"][k].as_py(), []
+                archive, rows, held = batch["path"][k].as_py(), [], 0
                 for what, start, end, *rest in salvage(batch["content"][k].as_buffer().to_pybytes()):
                     if what == "gap":
                         rows.append((archive, start, end, what, rest[0], *[None] * 7))
@@ -293,9 +317,10 @@ def _read_task(with_payload: bool):
                             payload,
                         )
                     )
-                    if len(rows) >= 1000:
+                    held += len(block) if with_payload else 0
+                    if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
                         yield made(rows)
-                        rows = []
+                        rows, held = [], 0
                 if rows:
                     yield made(rows)
 

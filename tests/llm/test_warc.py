@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import pytest
 
@@ -90,3 +91,41 @@ def test_salvage_of_rubbish_and_torn_ends():
     assert read(b"no archive at all") == ([], [(0, 17, "neither member nor version line")])
     pages, gaps = read(data[: starts[29] + 20])
     assert pages == list(range(29)) and gaps == [(starts[29], starts[29] + 20, "member without end")]
+
+
+def test_each_record_touches_its_own_bytes_only(monkeypatch):
+    data, starts = archive(True)
+    taken = []
+    real = zlib.decompressobj
+
+    class Counted:
+        def __init__(self, *how):
+            self.inner = real(*how)
+
+        def decompress(self, chunk, most):
+            taken.append(len(chunk))
+            return self.inner.decompress(chunk, most)
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+    monkeypatch.setattr(warc, "CHUNK", 64)
+    monkeypatch.setattr(warc.zlib, "decompressobj", Counted)
+    assert read(data) == (list(range(30)), [])
+    assert sum(taken) < len(data) + 30 * 64
+
+
+def test_member_that_inflates_without_bound_is_a_gap():
+    small, large = b"x" * 900, b"y" * 5000
+    member = warc.gzip_member(large)
+    with pytest.raises(warc.BadRecord, match="beyond the limit"):
+        warc._member_at(member, 0, most=4999)
+    assert warc._member_at(b"--" + member + b"tail", 2, most=5000) == (large, len(member))
+    assert warc._member_at(warc.gzip_member(small), 0, most=5000)[0] == small
+
+
+def test_false_version_lines_cost_no_copies():
+    record = warc.page_record(7, "u", "text", "0" * 40, None)
+    lie = b"WARC/1.1\r\nContent-Length: 99999999999\r\n\r\n"
+    pages, gaps = read(lie * 3000 + record)
+    assert pages == [7] and len(gaps) == 1 and "length" in gaps[0][2]
