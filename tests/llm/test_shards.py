@@ -6,9 +6,19 @@ import pytest
 from cargoledger.llm import shards
 
 
-def run(spark, rows, n=4):
+def run(spark, rows, n=4, **how):
     frame = spark.createDataFrame([(d, t, 5) for d, t in rows], "doc_id long, text string, size long")
-    return shards.assign(frame, shards=n).collect()
+    return shards.assign(frame, shards=n, **how).collect()
+
+
+def outside(out, rows):
+    """Brute force: per shared long line the part of its rows outside its main shard, summed; and texts in two shards."""
+    text, lines, texts = dict(rows), defaultdict(Counter), defaultdict(set)
+    for r in out:
+        texts[text[r["doc_id"]]].add(r["shard"])
+        for line in {x.strip() for x in (text[r["doc_id"]] or "").split("\n") if len(x.strip()) >= shards.LINE}:
+            lines[line][r["shard"]] += 1
+    return sum(1 - max(c.values()) / c.total() for c in lines.values()), sum(len(s) > 1 for s in texts.values())
 
 
 def check_law(out, rows, n):
@@ -60,3 +70,26 @@ def test_each_cut_splits_one_group(spark, hot):
 def test_empty_and_tiny_tables(spark):
     assert run(spark, []) == []
     check_law(run(spark, [(1, "a"), (2, "a"), (3, None)], 16), [(1, "a"), (2, "a"), (3, None)], 16)
+
+
+def test_rounds_bring_linked_documents_together(spark):
+    n = 8
+    chain = [f"line {k} that is shared by documents of one family, long enough" for k in range(700)]
+    rows = [(10 * f + k, f"{chain[f]}\nown {f} {k}\n{chain[f]}") for f in range(150) for k in range(2 + f % 5)]
+    rows += [(5000 + f, f"{chain[2 * f]}\n{chain[2 * f + 1]}") for f in range(60)]  # links between families
+    rows += [(6000 + k, f"{chain[k]} same") for k in range(300, 500) for _ in range(1)]
+    rows += [(7000 + k, f"{chain[k // 2 + 300]} same") for k in range(400)]  # copies of the ones before
+    rows += [(9000 + k, f"single {k}") for k in range(300)]
+    before = run(spark, rows, n, rounds=0)
+    after = run(spark, rows, n)
+    check_law(before, rows, n)
+    check_law(after, rows, n)
+    (cut0, split0), (cut1, split1) = outside(before, rows), outside(after, rows)
+    assert cut1 < 0.25 * cut0
+    assert split0 <= n - 1 and split1 <= n - 1
+
+
+def test_one_line_in_most_documents(spark):
+    line = "a line that a third of all documents and more hold, long enough to link"
+    rows = [(k, f"{line}\n{k}") for k in range(900)] + [(1000 + k, f"own {k}") for k in range(300)]
+    check_law(run(spark, rows, 8), rows, 8)
