@@ -179,3 +179,40 @@ def test_matrix_orders_zones_and_labels_bands(spark):
     assert [c for c in matrix.columns if c.startswith("zone_")] == ["zone_2", "zone_10", "zone_A"]
     assert {r["band"] for r in matrix.collect()} == {"0 a 5.0", "5 kg", "6.0 a ∞"}
     assert matrix.first()["service_name"] == "ECONOMY SELECT DOMESTIC"
+
+
+def test_a_band_is_priced_once_whatever_its_rate_rows(spark, monkeypatch):
+    rates = [
+        {"carrier": "dhl", "zone": z, "kilo_max": 5, "service": s, "cost": c}
+        for z in ("1", None) for s in (None, "", "N") for c in (7, 7, 9, None)
+    ]
+    rates += [{"carrier": "dhl", "zone": "1", "kilo_max": 5, "cost": 1, "valid_to": D(2020, 1, 1)}]
+    card = b.cost_rates(spark, rates)
+    book = pricing.price_book(
+        card, b.fuel_rates(spark), b.zone_margins(spark), b.kilo_margins(spark), b.flat_rates(spark)
+    )
+    clients = spark.createDataFrame(
+        [(1, "dhl", "a", "margin_global", 0.5), (2, "dhl", "b", "margin_global", None), (3, "dhl", "c", "flat", 0.1)],
+        "seller_id long, carrier string, client string, method string, margin double",
+    ).withColumn("margin", F.col("margin").cast("decimal(9,6)"))
+    probed = []
+
+    def counted(df, *args, **more):
+        probed.append(df)
+        return pricing.price(df, *args, **more)
+
+    monkeypatch.setattr(tariffs, "price", counted)
+    listed = tariffs.tariff_preview(clients, card, book, D(2024, 1, 1))
+    assert probed[0].count() == 2 * 6  # clients times bands, not times the 24 rate rows
+    assert probed[0].rdd.getNumPartitions() > 1
+    shown = sorted(map(repr, listed.collect()))
+    assert len(shown) == 2 * 24
+    costs = sorted(str(r["cost"]) for r in listed.filter("seller_id = 1 and zone is null and service = 'N'").collect())
+    assert costs == ["7.000000", "7.000000", "9.000000", "None"]
+    bands = tariffs.priced_bands(clients, card, book, D(2024, 1, 1))
+    assert sorted(map(repr, tariffs.listed_rates(bands, card, D(2024, 1, 1)).collect())) == shown
+    assert bands.agg(F.sum("rates")).first()[0] == 48
+    anew = tariffs.reprice(bands, clients.filter("seller_id = 2"), card, book, D(2024, 1, 1))
+    assert sorted(map(repr, tariffs.listed_rates(anew, card, D(2024, 1, 1)).collect())) == shown
+    made = [tariffs.generated_tariffs(x, clients, D(2024, 1, 1), "2024-01-01 00:00:00") for x in (bands, listed)]
+    assert sorted(r["bytes"] for r in made[0].collect()) == sorted(r["bytes"] for r in made[1].collect()) == [24, 24]
