@@ -313,3 +313,12 @@ def test_arrays_of_cells_are_cleaned_like_single_cells(spark):
     )
     for r in got.collect():
         assert r["t"] == r["t1"] and r["n"] == r["n1"]
+
+
+def test_only_texts_with_odd_blanks_meet_the_pattern(spark):
+    plain = ["", " ", "a", " Gu\u00eda de env\u00edo ", "a b c", "  a", "x" * 5000]
+    odd = ["a  b", "a  ", "a\n", "\ta", "a\xa0b", "a\u2003b", "\x85", "a \u3000"]
+    rows = spark.createDataFrame([(t,) for t in plain + odd], "c string")
+    shown = rows.select("c", F.col("c").rlike(cleaners.PLAIN_TEXT), cleaners.collapsed(F.col("c"))).collect()
+    assert [r[1] for r in shown] == [True] * len(plain) + [False] * len(odd)
+    assert all(r[2] == " ".join(r["c"].split()) for r in shown)
