@@ -67,6 +67,41 @@ def test_chunks_of_a_hot_key_are_many_and_bounded(spark, monkeypatch):
     assert cells._chunked(rows, ["key"], ["kilo"]).filter("key <> 'hot'").count() == 2000
 
 
+def test_keys_of_few_rows_get_no_quantiles(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr(
+        "id % 1000 as key", "cast(id as double) as low_kilo", "cast(id + 2 as double) as high_kilo", "'best' as layer", "0 as best",
+    )
+
+    def shown():
+        dealt = cells._chunked(rows, ["key"], ["kilo"])
+        found = dealt.collect()
+        final = dealt._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        return len(found), "percentile_approx" in final
+
+    assert shown() == (3000, False)
+    monkeypatch.setattr(cells, "CHUNK", 2)
+    assert shown()[1]
+
+
+def test_a_row_alone_is_its_own_cell(spark):
+    """Keys of one row, a row alone on the inner axis, a row of one layer alone."""
+    names = "key string, low_kilo double, high_kilo double, low_day int, high_day int, rank array<double>, value decimal(30,10)"
+    cost = [("a", 0.0, 5.0, 1, 9, [1.0], Decimal(7)), ("b", 0.0, 5.0, 1, 9, [1.0], Decimal(3)), ("b", 4.0, 8.0, 2, 3, [0.0], None)]
+    fuel = [("b", 20.0, 30.0, 1, 9, [1.0], Decimal(1)), ("c", 0.0, 1.0, 0, 1, [2.0], Decimal(4))]
+    layers = {"cost": spark.createDataFrame(cost, names), "fuel": spark.createDataFrame(fuel, names)}
+    found = cells.compile_cells(layers, ["key"], ["kilo", "day"])
+    got = {
+        (r["key"], r["kilo_low"], r["kilo_high"], r["day_low"], r["day_high"]): tuple(r[x] and (r[x]["none"], r[x]["value"]) for x in layers)
+        for r in found.collect()
+    }
+    seven, three, one, four = ((False, Decimal(n)) for n in (7, 3, 1, 4))
+    assert got == {
+        ("a", 0, 5, 1, 9): (seven, None), ("b", 0, 4, 1, 9): (three, None), ("b", 4, 5, 1, 2): (three, None),
+        ("b", 4, 5, 2, 3): ((True, None), None), ("b", 4, 5, 3, 9): (three, None), ("b", 5, 8, 2, 3): ((True, None), None),
+        ("b", 20, 30, 1, 9): (None, one), ("c", 0, 1, 0, 1): (None, four),
+    }
+
+
 def test_layers_meet_in_one_cell(spark):
     rates = [{"carrier": "dhl", "zone": "1", "cost": 100, "kilo_max": 10}, {"carrier": "dhl", "zone": "1", "service": "G", "cost": 80}]
     fuel = [{"carrier": "dhl", "pct": 0.1, "valid_from": D(2026, 1, 1)}, {"carrier": "dhl", "pct": 0.3, "service": "N"}]
