@@ -48,6 +48,23 @@ def test_typed_table(spark):
     assert back["sender"] == "Tea House" and sale["pieces"] == 12 and sale["source_file"] == "march"
 
 
+def test_texts_that_nobody_reads_are_not_cleaned(spark):
+    lines = carriers.normalise_invoices(_typed_lines(spark), "dhl", "march")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+    slim = plan(lines.select("waybill", "net_amount"))
+    assert "Remitente" not in slim and "Producto" not in slim and "Importe Neto" in slim
+    assert "Remitente" in plan(lines.select("sender"))
+    # the texts read are those of the whole line
+    for name in ("waybill", "reference", "service", "sender", "zone", "currency", "account", "is_return"):
+        assert lines.select(name).collect() == [(r[name],) for r in lines.collect()]
+
+
+def test_an_amount_too_large_is_an_error_whichever_is_read(spark):
+    raw = _typed_lines(spark).withColumn("Flete", F.lit("1" + "0" * 12))
+    with pytest.raises(Exception, match="amount too large"):
+        carriers.normalise_invoices(raw, "dhl", "march").select("waybill", "net_amount").collect()
+
+
 def test_every_file_is_bound_by_its_own_header(spark, tmp_path):
     (tmp_path / "one.csv").write_text("No.De Guia,Importe Neto,Zona,Pza\nW1,100,3,1\n")
     (tmp_path / "two.csv").write_text("Zona,Extra,No.De Guia,Importe Neto\n5,x,W2,200\n")
