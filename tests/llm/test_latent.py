@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from cargoledger.llm import latent
 
@@ -182,3 +183,36 @@ def test_blocks_of_passages_and_ids_of_any_type(spark, monkeypatch):
     items = spark.createDataFrame([(float(i), t, "ignored") for i, t in bench], "item_id double, text string, answer string")
     rows = latent.find_leaks(docs, items.selectExpr("cast(item_id as decimal(9,1)) as item_id", "text", "answer")).collect()
     assert planted <= {(r["doc_id"], int(r["item"])) for r in rows}
+
+
+def test_the_basis_is_fitted_on_every_row(spark, monkeypatch):
+    """The energy of the rows that are fitted is that of the whole table, however large."""
+    sums, added = [], latent._added
+    monkeypatch.setattr(latent, "_added", lambda *a: sums.append(added(*a)) or sums[-1])
+    n, texts = 45_000, [f"one{k} one{k} two{k % 7}" for k in range(100)]
+    text = F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("doc_id") % 100 + 1).cast("int"))
+    docs = spark.range(n).toDF("doc_id").withColumn("text", text)
+    weights = np.random.default_rng(2).random(latent.BUCKETS).astype(np.float32) + 1
+    passages = latent.benchmark_passages(spark.createDataFrame([(1, texts[3])], "item_id long, text string"))
+    latent.latent_basis(docs, passages, weights)
+    rows = [np.bincount(latent.buckets_of(words), minlength=latent.BUCKETS) * weights for words in latent.word_lists(texts)]
+    want = sum(float((row.astype(float) ** 2).sum()) for row in rows) * n / len(texts)
+    assert abs(sums[0][1] - want) < 1e-4 * want and abs(sums[1][1] - 1) < 1e-4
+
+
+def test_the_sketch_equals_that_of_the_whole_matrix(monkeypatch):
+    monkeypatch.setattr(latent, "GATHERED", 7)
+    monkeypatch.setattr(latent, "PIECE", 4)
+    rng = np.random.default_rng(3)
+    weights = rng.random(latent.BUCKETS).astype(np.float32) + 1
+    term, row = rng.integers(0, 30, 500), np.sort(rng.integers(0, 60, 500))
+    dense = np.zeros((60, latent.BUCKETS))
+    np.add.at(dense, (row, term), weights[term])
+    for unit in (False, True):
+        sketch = latent.Sketch(weights, 5)
+        sketch.add(term[:0], row[:0], unit)
+        for part in (row < 20, row >= 20):
+            sketch.add(term[part], row[part], unit)
+        rows = dense / np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9) if unit else dense
+        want = rows.T @ (rows @ latent.random_matrix(5))
+        assert np.allclose(sketch.total, want, rtol=1e-4, atol=1e-3) and np.isclose(sketch.energy, (rows**2).sum(), rtol=1e-5)
