@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from decimal import Decimal
 from pathlib import Path
 
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from cargoledger.functions.money import CENTS
 from cargoledger.operators import reports, rollups, search
+from cargoledger.plans.catalog import Workspace
 from cargoledger.schemas import RECONCILIATION
 from cargoledger.sources import tables
 
@@ -137,3 +139,17 @@ def test_pages_follow_each_other_without_offset(recon):
         pages += [r["waybill"] for r in rows]
         last = (rows[-1]["cost"], rows[-1]["waybill"])
     assert pages == whole
+
+
+def test_a_step_lets_go_of_its_shuffles_before_the_next(spark, tmp_path):
+    """The shuffle files of a stored step are gone when the next one begins; the driver's memory alone would keep them."""
+    held = lambda: set(spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().keys().mkString(" ").split())
+    tables.free_shuffles(spark)
+    before = held()
+    work = Workspace(spark, str(tmp_path))
+    kept = work.scratch("step", spark.range(1000).repartition(5).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if not held() - before:
+            break
+        time.sleep(0.1)
+    assert not held() - before and kept.count() == 7
