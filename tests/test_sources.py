@@ -339,3 +339,24 @@ def test_only_texts_with_odd_blanks_meet_the_pattern(spark):
     shown = rows.select("c", F.col("c").rlike(cleaners.PLAIN_TEXT), cleaners.collapsed(F.col("c"))).collect()
     assert [r[1] for r in shown] == [True] * len(plain) + [False] * len(odd)
     assert all(r[2] == " ".join(r["c"].split()) for r in shown)
+
+
+def test_a_stored_comparison_is_worked_out_once(spark, tmp_path):
+    """With a store the mirror after a batch is the same, and its plan ranks no batch again."""
+    first, second = _facts(spark, 200, 5), _facts(spark, 200, 6)
+    lost = second.limit(5).withColumn("waybill", F.lit(None).cast("string"))
+    state = mirror.dedup_by_id(first, "shipment_id", "version", *mirror.SHIPMENT_TIES)
+    state = tables.stored(state, f"{tmp_path}/state")
+    before = tables.stored(mirror.latest_shipment(state), f"{tmp_path}/mirror")
+    batch, paths = second.unionByName(lost.withColumn("version", F.col("version") + 1)), []
+
+    def store(df):
+        paths.append(f"{tmp_path}/changes{len(paths)}")
+        return tables.stored(df, paths[-1])
+
+    plain = mirror.merge_shipments(state, before, batch)
+    kept = mirror.merge_shipments(state, before, batch, store)
+    assert len(paths) == 1
+    for one, two in zip(plain, kept, strict=True):
+        assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+    assert "row_number" not in kept[1]._jdf.queryExecution().optimizedPlan().toString()
