@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -185,3 +186,31 @@ def test_one_waybill_and_one_seller_with_a_third_of_all_rows(spark):
     kept = [i + 1 for i in range(n) if i % 3]
     assert (totals["n"], totals["d"]) == (len(kept) + 1, len(kept) + 1)
     assert float(totals["hot"]) == 1.0 and float(totals["cost"]) == sum(kept) + 1
+
+
+def test_first_lines_part_by_part_equal_those_of_all(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [
+        b.line(rng.choice([None, *(f"W{k}" for k in range(30))]), rng.randrange(3), carrier=rng.choice(["dhl", "fedex", "x"]),
+               invoice_date=rng.choice([None, b.INVOICED, b.SHIP]), kilos=rng.randrange(3), sender=rng.choice([None, "a", "b"]))
+        for _ in range(300)
+    ]
+    lines = b.invoices(spark, rows)
+    parts = [lines.filter(F.col("carrier") == c) for c in ("dhl", "fedex", "x")]
+    got = reconcile.dedup_parts(parts, f"{tmp_path}/lines")
+    want = reconcile.dedup_invoices(lines)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(got.columns).collect()))
+    assert [p.name for p in (tmp_path / "lines").iterdir()] == ["2"]  # lines that others replaced are gone
+
+
+def test_returns_are_resolved_by_first_lines_alone(spark):
+    """A later line of a return names another original; the shipment of the first line's original owns it, either way."""
+    lines = b.invoices(spark, [
+        b.line("back", 5, is_return=True, reference="RT0000000001", invoice_date=b.SHIP),
+        b.line("back", 5, is_return=True, reference="RT0000000002"), b.line("0000000001", 7),
+    ])
+    known = b.shipments(spark, [b.shipment(f"000000000{k}", k, f"S{k}", PREPAID, 9) for k in (1, 2)])
+    every = reconcile.attribute(lines, known, b.overweight(spark), b.surcharges(spark)).collect()
+    first = reconcile.attribute(reconcile.dedup_invoices(lines), known, b.overweight(spark), b.surcharges(spark)).collect()
+    assert sorted(map(repr, every)) == sorted(map(repr, first))
+    assert {r["waybill"]: r["seller_id"] for r in first}["back"] == 1
